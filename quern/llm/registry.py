@@ -1,10 +1,12 @@
 """The queries of this subpackage, and their SQL."""
 
+from quern.llm.op5_media import op5_media
+from quern.llm.op7_mixing import op7_mixing
 from quern.llm.op9_packing import op9_packing
 
 
 def queries():
-    return {f.__name__: f for f in (op9_packing,)}
+    return {f.__name__: f for f in (op5_media, op7_mixing, op9_packing)}
 
 
 def oracle_sql():
