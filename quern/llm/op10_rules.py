@@ -23,7 +23,7 @@ _CONTINUATION = bytes(range(0x80, 0xC0))
 #: Frequent words of the four languages; fixed values.
 STOP = frozenset(b"the of and to in that is it for on with as was are der die und das von den mit zu ist nicht des auf la de le et les que un elle des est pour el en los se del por con no una para".split())
 ENDS = (b".", b"!", b"?", b'"', b":", b";")
-LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_upper", "n_stop", "n_marks")
+LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_upper", "n_stop", "n_marks", "n_stutter")
 
 
 def repeat_words(hashes: np.ndarray, k: int = 8) -> int:
@@ -58,7 +58,8 @@ def measures(text: bytes) -> tuple:
     marks = sum(w in (b"|", b"-", b"*") for w in words) if symbols else 0
     upper = sum(map(bytes.isupper, words))
     stop = sum(map(STOP.__contains__, words))
-    return len(words), len(bare), symbols, dup, repeat_words(word_hashes(words)), lines, ended, upper, stop, marks
+    stutter = sum(map(bytes.__eq__, words[1:], words))
+    return len(words), len(bare), symbols, dup, repeat_words(word_hashes(words)), lines, ended, upper, stop, marks, stutter
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def _vote(good, bad):
 
 def rules() -> dict:
     length, symbol, dup = _ratio("word_chars", "n_words"), _ratio("n_symbols", "word_chars"), _ratio("n_dup_lines", "n_lines")
-    repeat, upper, stop, marks = (_ratio(c, "n_words") for c in ("n_repeat_words", "n_upper", "n_stop", "n_marks"))
+    repeat, upper, stop, marks, stutter = (_ratio(c, "n_words") for c in ("n_repeat_words", "n_upper", "n_stop", "n_marks", "n_stutter"))
     ended = _ratio("n_ended", "n_lines")
     return {
         "word_length": _vote((length >= 3) & (length <= 10), (length < 2) | (length > 16)),
@@ -95,21 +96,24 @@ def rules() -> dict:
         "capitals": _vote(upper < 0.1, upper > 0.3),
         "stop_words": _vote(stop >= 0.08, stop < 0.005),
         "list_marks": _vote(marks < 0.02, marks > 0.1),
+        "stutter": _vote((F.col("n_words") >= 20) & (stutter < 0.1), stutter > 0.3),
     }
 
 
 def fit(votes: np.ndarray, counts: np.ndarray, steps: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
     """Accuracies (rule x [on good, on bad]), share of good texts, posterior of each pattern.
 
-    votes: patterns x rules of 0, 1, 2. Abstaining tells nothing. Starts from the majority."""
+    votes: patterns x rules of 0, 1, 2. Abstaining tells nothing. A rule that votes good on bad
+    texts as often as on good ones ends with no weight. Starts from texts with no vote for bad
+    as good and texts with two as bad, which also tells the two classes apart."""
     good, bad = votes == 1, votes == 2
     n = counts.astype(float)
-    post = np.clip(0.5 + 0.4 * np.sign(good.sum(1) - bad.sum(1) * 1.5), 0.1, 0.9)
+    post = np.array([0.9, 0.5, 0.1])[np.minimum(bad.sum(1), 2)]
     acc, prior = np.full((votes.shape[1], 2), 0.8), 0.8
     for _ in range(steps):
         for side, (hit, miss, p) in enumerate(((good, bad, post), (bad, good, 1 - post))):
             right, wrong = (n * p) @ hit, (n * p) @ miss
-            acc[:, side] = np.clip((right + 4) / (right + wrong + 5), 0.5, 0.995)
+            acc[:, side] = np.clip((right + 1) / (right + wrong + 2), 0.005, 0.995)
         prior = float(np.clip((n @ post) / max(n.sum(), 1), 0.02, 0.98))
         log = np.log(prior / (1 - prior)) + good @ np.log(acc[:, 0] / (1 - acc[:, 1])) + bad @ np.log((1 - acc[:, 0]) / acc[:, 1])
         now = 1 / (1 + np.exp(-np.clip(log, -40, 40)))

@@ -43,8 +43,7 @@ def test_whole_table(spark):
     good = [k for q, k in marks if q == 1]
     assert sum(good) / len(good) > 0.97
     bad = [k for q, k in marks if q == 0]
-    print("kept of bad", sum(bad), len(bad))
-    assert sum(bad) < 0.4 * len(bad)
+    assert sum(bad) < 0.2 * len(bad)
 
 
 def test_odd_rows(spark, odd, empty):
