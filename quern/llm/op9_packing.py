@@ -24,9 +24,48 @@ WINDOW = 2048
 SHARD_DOCS = 512
 END_ID = 1
 
-_cache: dict[bytes, bytes] = {}
-_tokenizer: dict[str, object] = {}
-CACHE_WORDS = 500_000
+CACHE_WORDS = 600_000
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
+class WordIds(dict):
+    """Word -> its ids as little-endian uint16, for a tokenizer that never joins across white
+    space. Remembers up to CACHE_WORDS words, and as many words without their final
+    punctuation, which this tokenizer cuts off as a run of its own."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        self.stems: dict[bytes, bytes] = {}
+
+    def encode(self, word: bytes) -> bytes:
+        if word.isalpha() and word.isascii() and word.islower():  # nothing to normalize or cut
+            return np.array([t.id for t in self.model.tokenize(word.decode())], "<u2").tobytes()
+        return np.array(self.tok.encode(word.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+
+    def stem(self, word: bytes) -> bytes:
+        got = self.stems.get(word)
+        if got is None:
+            if len(self.stems) >= CACHE_WORDS:
+                self.stems.clear()
+            got = self.stems[word] = self.encode(word)
+        return got
+
+    def __missing__(self, word: bytes) -> bytes:
+        end = word.rstrip(PUNCTUATION)
+        if end and len(end) < len(word) and b"<|" not in word:
+            got = self.stem(end) + self.stem(word[len(end) :])
+        else:
+            got = self.stem(word)
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = got
+        return got
+
+
+_words: dict[str, WordIds] = {}
 
 
 def default_tokenizer() -> str:
@@ -35,44 +74,23 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _encoder(path: str):
-    if path not in _tokenizer:
-        from tokenizers import Tokenizer
-
-        _cache.clear()
-        _tokenizer.clear()
-        _tokenizer[path] = Tokenizer.from_file(path)
-    return _tokenizer[path]
-
-
-def encode_texts(all_words: list[list[bytes]], path: str) -> list[bytes]:
-    """Ids of each text as little-endian uint16. This tokenizer never joins across white
-    space, so words are encoded once each and remembered."""
-    tok = _encoder(path)
-    known = _cache
-    new = set().union(*all_words) - known.keys() if all_words else set()
-    if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        new = set().union(*all_words)
-    if new:
-        new = list(new)
-        got = tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for w, e in zip(new, got, strict=True):
-            known[w] = np.array(e.ids, "<u2").tobytes()
-    get = known.__getitem__
-    return [b"".join(map(get, words)) for words in all_words]
+def encode_text(text: bytes, words: WordIds) -> bytes:
+    if b"<|" not in text:  # else a special token might appear that the text doesn't have
+        text = text.lower()
+    return b"".join(map(words.__getitem__, text.split()))
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if tokenizer not in _words:
+            _words.clear()
+            _words[tokenizer] = WordIds(tokenizer)
+        words = _words[tokenizer]
         end = np.array([end_id], "<u2").tobytes()
         for b in chunks(batches, limit=2 << 20):
-            ids = encode_texts([t.split() for t in texts(b)], tokenizer)
+            ids = [encode_text(t, words) for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x + end for x in ids], pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, shard long, ids binary")
@@ -82,20 +100,21 @@ def neighbour_scores(ids: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
     """A function: document -> BM25 score of every document of the shard for its terms."""
     n = len(ids)
     lens = np.array([len(x) for x in ids], np.float64)
-    key = np.repeat(np.arange(n, dtype=np.int64), [len(x) for x in ids]) | (np.concatenate(ids).astype(np.int64) << 20)
+    key = np.repeat(np.arange(n, dtype=np.int64), [len(x) for x in ids]) << 16 | np.concatenate(ids)
     pair, tf = np.unique(key, return_counts=True)
-    term, doc = pair >> 20, pair & 0xFFFFF
-    terms, first, df = np.unique(term, return_index=True, return_counts=True)
+    doc, term = pair >> 16, pair & 0xFFFF
+    start = np.searchsorted(doc, np.arange(n + 1))
+    by_term = np.argsort(term, kind="stable")
+    df = np.bincount(term, minlength=1 << 16)
+    first = np.cumsum(df) - df
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    w = np.repeat(idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[doc] / max(lens.mean(), 1)))
-    stops = first + df
+    w = (idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[doc] / lens.mean())))[by_term]
+    doc = doc[by_term]
 
     def score(seed: int) -> np.ndarray:
-        at = np.searchsorted(terms, np.unique(ids[seed]))
-        at = at[df[at] > 1]
-        if not len(at):
-            return np.zeros(n)
-        take = np.concatenate([np.arange(i, j) for i, j in zip(first[at], stops[at], strict=True)])
+        at = term[start[seed] : start[seed + 1]]
+        size = df[at]
+        take = np.arange(size.sum()) + np.repeat(first[at] - np.cumsum(size) + size, size)
         return np.bincount(doc[take], w[take], n)
 
     return score
