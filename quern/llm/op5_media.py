@@ -1,7 +1,8 @@
 """Media columns: content-addressed payloads in tar shards.
 
-Each distinct payload is stored once, as an 8-bit greyscale PNG named by its SHA-256, in tar
-shards in the shared store. Rows carry digest, shard, offset and length. Header-only range
+Each distinct payload is an 8-bit greyscale PNG named by its SHA-256 in tar shards in the
+shared store. A shard holds a payload once; where several shards hold it, all rows refer to
+the first one's entry, so no text is shuffled. Rows carry digest, shard, offset and length. Header-only range
 reads (the first 33 bytes of an entry) fill the metadata columns; ``read_payloads`` reads
 whole entries and decodes them.
 
@@ -88,53 +89,41 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, digest of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("digest", pa.string())])
-
-    def run(batches):
-        for b in chunks(batches):
-            raw = texts(b)
-            pay = [padded(r) for r in raw]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([len(p) for p in pay], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in pay])], schema=schema)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, digest string")
-
-
 MANIFEST = "digest string, shard string, offset long, length long"
+STORED = "doc_id long, n_bytes long, payload_bytes long, " + MANIFEST
 
 
 def write_shards(docs: DataFrame, store: str) -> DataFrame:
-    """Stores the payload of every row of docs (text) below ``store``; returns the manifest."""
-    schema = pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+    """Stores the payload of every row of docs (doc_id, text) below ``store``, once a shard
+    whatever its number of copies; says of each row what was stored and where."""
+    kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2
+    schema = pa.schema([(c.split()[0], k) for c, k in zip(STORED.split(", "), kinds, strict=True)])
 
     def run(batches):
-        shard, out, seen, tar = f"{store}/{uuid.uuid4().hex}.tar", None, set(), None
+        shard, seen, tar, out = f"{store}/{uuid.uuid4().hex}.tar", {}, None, None
         for b in chunks(batches):
             rows = []
             for raw in texts(b):
                 payload = padded(raw)
-                digest = hashlib.sha256(payload).hexdigest()
-                if digest in seen:
-                    continue
-                seen.add(digest)
-                if tar is None:
-                    where, path = _open(shard)
-                    where.create_dir(path.rpartition("/")[0], recursive=True)
-                    out = where.open_output_stream(path)
-                    tar = tarfile.open(fileobj=out, mode="w|", format=tarfile.USTAR_FORMAT)
-                data = to_png(payload)
-                info = tarfile.TarInfo(f"{digest}.png")
-                info.size = len(data)
-                rows.append((digest, shard, tar.offset + tarfile.BLOCKSIZE, len(data)))
-                tar.addfile(info, io.BytesIO(data))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                digest = hashlib.sha256(payload).digest()
+                if digest not in seen:
+                    if tar is None:
+                        where, path = _open(shard)
+                        where.create_dir(path.rpartition("/")[0], recursive=True)
+                        out = where.open_output_stream(path)
+                        tar = tarfile.open(fileobj=out, mode="w|", format=tarfile.USTAR_FORMAT)
+                    data = to_png(payload)
+                    info = tarfile.TarInfo(f"{digest.hex()}.png")
+                    info.size = len(data)
+                    seen[digest] = (tar.offset + tarfile.BLOCKSIZE, len(data))
+                    tar.addfile(info, io.BytesIO(data))
+                rows.append((len(raw), len(payload), digest.hex(), shard, *seen[digest]))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))], schema=schema)
         if tar is not None:
             tar.close()
             out.close()
 
-    return docs.select("text").mapInArrow(run, MANIFEST)
+    return docs.select("doc_id", "text").mapInArrow(run, STORED)
 
 
 def _ranges(shards: list[str], offsets: list[int], lengths: list[int]):
@@ -181,20 +170,17 @@ def read_payloads(manifest: DataFrame) -> DataFrame:
     return manifest.mapInArrow(run, f"{have}, {FEATURES}")
 
 
-def media_table(docs: DataFrame, store: str) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, payload_bytes, digest, shard, offset, length
-    and the metadata columns. Null text is empty; equal texts share one stored entry; a
-    doc_id may be null or repeated; further columns are ignored; no rows give no rows."""
-    known = materialize(digests(docs), "media-digests")
-    # Dealt by doc_id and not by digest: a digest with most of the rows still has one owner row.
-    owners = known.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("own")).select("own").distinct()
-    mine = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("own"), "text").join(owners, "own", "left_semi")
-    wrote = materialize(write_shards(mine.select("text"), store), "media-manifest")
-    manifest = wrote.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("m")).select("digest", "m.shard", "m.offset", "m.length")
+def media_table(docs: DataFrame, store: str) -> tuple[DataFrame, DataFrame]:
+    """What each row of docs has (doc_id, n_bytes, payload_bytes, digest), and for each digest
+    where it is stored (shard, offset, length) and its metadata columns.
+
+    Null text is empty; equal texts share one entry, the first shard's that holds it; a doc_id
+    may be null or repeated; further columns are ignored; no rows give no rows."""
+    stored = materialize(write_shards(docs, store), "media-stored")
+    _drop_unreported(docs, store, stored)
+    manifest = stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("m")).select("digest", "m.shard", "m.offset", "m.length")
     headed = materialize(read_headers(manifest.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")), "media-headers")
-    _drop_unreported(docs, store, wrote)
-    release(wrote)
-    return known, headed
+    return stored.select("doc_id", "n_bytes", "payload_bytes", "digest"), headed
 
 
 def _drop_unreported(docs: DataFrame, store: str, wrote: DataFrame) -> None:
