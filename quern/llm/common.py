@@ -7,6 +7,7 @@ six bytes, and ``bytes.lower()`` lower-cases A-Z alone.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -59,6 +61,13 @@ def release(*frames: DataFrame) -> None:
             delete_path(df.sparkSession, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are gone: it does so when the
+    driver collects garbage, which a small driver heap may not do for a long time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _sweep() -> None:
     for path, spark in list(_left.items()):
@@ -98,6 +107,25 @@ def texts(batch, column: str = "text") -> list[bytes]:
     return [t or b"" for t in col.cast(kind).to_pylist()]
 
 
+def packed(docs: DataFrame, columns: str) -> DataFrame:
+    """docs' columns (a schema string) and its text compressed to ``z``: what a shuffle or a
+    scratch table of whole texts then holds is less than half."""
+
+    def run(batches):
+        tool = zstandard.ZstdCompressor(level=3)
+        for b in chunks(batches):
+            z = pa.array([tool.compress(t) for t in texts(b)], pa.binary())
+            keep = [i for i, f in enumerate(b.schema) if f.name != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), z], names=[*(b.schema.names[i] for i in keep), "z"])
+
+    return docs.mapInArrow(run, f"{columns}, z binary")
+
+
+def unpacked(batch, column: str = "z") -> list[bytes]:
+    tool = zstandard.ZstdDecompressor()
+    return [tool.decompress(z) for z in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembering up to ``most`` words."""
 

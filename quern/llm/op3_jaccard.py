@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks, materialize, release, shingle_hashes, table, texts, word_hashes
+from quern.llm.common import chunks, materialize, packed, release, shingle_hashes, table, texts, tidy, unpacked, word_hashes
 from quern.llm.graph import components
 
 HEAVY = 64
@@ -96,10 +96,10 @@ def _postings(named: DataFrame, heavy, k: int, p: int, q: int) -> DataFrame:
     names = ["node", "size", "bits", "at"]
 
     def run(batches):
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "z", 1 << 20):
             own = b.column(2).to_pylist() if heavy is None else None
             rows, tokens, pos, ends = [], [], [], [0]
-            for i, t in enumerate(texts(b)):
+            for i, t in enumerate(unpacked(b)):
                 s = shingle_set(t, k)
                 h = heavy.value if own is None else np.array(own[i] or [], np.int64).view(np.uint64)
                 last = np.isin(s, h, assume_unique=True) if len(h) < len(s) else (h[np.minimum(np.searchsorted(h, s), len(h) - 1)] == s if len(h) else np.zeros(len(s), bool))
@@ -111,18 +111,18 @@ def _postings(named: DataFrame, heavy, k: int, p: int, q: int) -> DataFrame:
             entries = pa.StructArray.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(pos))], ["token", "pos"])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], kinds[1]), pa.array([r[1] for r in rows], kinds[2]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], names=names)
 
-    columns = ["node", "text"] + (["heavy"] if heavy is None else [])
+    columns = ["node", "z"] + (["heavy"] if heavy is None else [])
     return named.select(*columns).mapInArrow(run, POSTING)
 
 
 def _all_tokens(named: DataFrame, k: int) -> DataFrame:
     def run(batches):
-        for b in chunks(batches, "text"):
-            sets = [shingle_set(t, k) for t in texts(b)]
+        for b in chunks(batches, "z", 1 << 20):
+            sets = [shingle_set(t, k) for t in unpacked(b)]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "tokens"])
 
-    return named.select("node", "text").mapInArrow(run, "node long, tokens array<long>")
+    return named.select("node", "z").mapInArrow(run, "node long, tokens array<long>")
 
 
 def _heavy_last(named: DataFrame, sets: DataFrame, k: int, p: int, q: int, most: int, sent: int) -> DataFrame:
@@ -137,20 +137,20 @@ def _heavy_last(named: DataFrame, sets: DataFrame, k: int, p: int, q: int, most:
 
 def _compare(pairs: DataFrame, named: DataFrame, k: int) -> DataFrame:
     """pairs (a, b) with ``diff``: the sorted symmetric difference of the two sets."""
-    one = pairs.join(named.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(named.select(F.col("node").alias("b"), F.col("text").alias("text")), "b")
+    one = pairs.join(named.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
+    two = one.join(named.select(F.col("node").alias("b"), "z"), "b")
 
     def run(batches):
         last = (None, None)
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "z", 1 << 20):
             diffs = []
-            for text_a, text_b in zip(texts(b, "text_a"), texts(b), strict=True):
+            for text_a, text_b in zip(unpacked(b, "za"), unpacked(b), strict=True):
                 if last[0] != text_b:
                     last = (text_b, shingle_set(text_b, k))
                 diffs.append(np.setxor1d(shingle_set(text_a, k), last[1], assume_unique=True).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(diffs, pa.binary())], names=["a", "b", "diff"])
 
-    return two.select("a", "b", "text_a", "text").mapInArrow(run, "a long, b long, diff binary")
+    return two.select("a", "b", "za", "z").mapInArrow(run, "a long, b long, diff binary")
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
@@ -165,7 +165,8 @@ def _near(pairs: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
             keep = [bitmap_distance(i, j) <= m for i, j, m in zip(x, y, limit, strict=True)]
             yield b.select(["a", "b", "sa", "sb"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ba", "sb", "bb")
+    fits = F.abs(F.col("sa") - F.col("sb")) * F.lit(q + p) <= (F.col("sa") + F.col("sb")) * F.lit(q - p)
+    joined = pairs.join(left, "a").join(right, "b").filter(fits).select("a", "b", "sa", "ba", "sb", "bb")
     return joined.mapInArrow(run, "a long, b long, sa int, sb int")
 
 
@@ -191,24 +192,28 @@ def similar(docs: DataFrame, *, k: int = 5, p: int = 80, q: int = 100, heavy: in
     class. Further columns are ignored; no rows give no rows.
     """
     spark = docs.sparkSession
-    sets = materialize(_sets(docs, k, p, q), "sets")
+    first = materialize(_sets(docs, k, p, q), "sets")
+    sets = materialize(first.drop("first"), "set-keys")
     some = sets.filter("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     classes = some.groupBy("k1", "k2").agg(F.min(order).alias("r"), F.first("n_shingles").alias("size")).select("k1", "k2", "r.doc_id", "r.th", "size")
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     stand = classes.select(F.col("doc_id").alias("rd"), F.col("th").alias("rt"), "node")
-    here = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    named = here.join(stand, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("th") == F.col("rt"))).select("node", "text")
+    here = packed(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), "doc_id long, th long")
+    named = here.join(stand, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("th") == F.col("rt"))).select("node", "z")
     if not some.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
-        named = named.groupBy("node").agg(F.min("text").alias("text"))  # a row repeated whole
+        named = named.groupBy("node").agg(F.min("z").alias("z"))  # a row repeated whole
     named = materialize(named, "class-texts")
+    tidy(spark)
 
-    entries = materialize(_heavy_last(named, some, k, p, q, heavy, sent), "index")
-    nodes = entries.select("node", "size", "bits")
+    entries = materialize(_heavy_last(named, first, k, p, q, heavy, sent), "index")
+    nodes = materialize(entries.select("node", "size", "bits"), "nodes")
     flat = entries.select("node", "size", F.explode("at").alias("e")).select("e.token", "node", "size", "e.pos")
     lists = materialize(flat.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1").select("token", "hub"), "lists")
     live = materialize(flat.join(lists, "token"), "live")
-    release(lists)
+    del flat
+    release(lists, first, entries)
+    tidy(spark)
 
     votes = live.filter("node <> hub").groupBy("node", "hub").count()
     chosen = votes.groupBy("node").agg(F.max(F.struct("count", (-F.col("hub")).alias("h"))).alias("m")).select(F.col("node").alias("a"), (-F.col("m.h")).alias("b"))
@@ -217,6 +222,8 @@ def similar(docs: DataFrame, *, k: int = 5, p: int = 80, q: int = 100, heavy: in
     size = F.expr("length(diff) div 8")
     answers = materialize(asked.join(diffs, ["a", "b"]).withColumn("linked", size * F.lit(q + p) <= (F.col("sa") + F.col("sb")) * F.lit(q - p)), "answers")
     links = answers.filter("linked").select("a", "b")
+    del diffs
+    tidy(spark)
 
     # A cluster is a hub and the sets linked to it; a hub may itself belong to another's.
     cluster = answers.filter("linked").select(F.col("a").alias("node"), F.col("b").alias("cluster"))
@@ -241,11 +248,17 @@ def similar(docs: DataFrame, *, k: int = 5, p: int = 80, q: int = 100, heavy: in
     kept = answers.select("a", F.col("b").alias("hub"), "diff")
     told = rest.join(kept.select("a", F.col("hub").alias("ha"), F.col("diff").alias("da")), "a", "left").join(kept.select(F.col("a").alias("b"), F.col("hub").alias("hb"), F.col("diff").alias("db")), "b", "left")
     told = materialize(told.select("a", "b", "sa", "sb", "da", "db", (F.col("ha") == F.col("hb")).alias("same")), "told")
+    release(probes, marked, main, rest)
+    del left, right, pairs, rest, marked, probes, main, sizes
+    tidy(spark)
     derived = _derive(told.filter("same"), p, q)
     asked = told.filter("same is null or not same").select("a", "b", "sa", "sb")
     full = asked.join(_compare(materialize(asked.select("a", "b"), "full-pairs"), named, k), ["a", "b"]).filter(size * F.lit(q + p) <= (F.col("sa") + F.col("sb")) * F.lit(q - p))
     links = links.unionByName(derived).unionByName(full.select("a", "b"))
 
+    links = materialize(links, "all-links")
+    release(named)
+    tidy(spark)
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     labels = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labels = materialize(labels.select("k1", "k2", "doc_id", "component"), "labels")
