@@ -2,14 +2,16 @@
 
 from quern.llm.op10_rules import op10_rules
 from quern.llm.op3_jaccard import op3_jaccard
+from quern.llm.op4_lines import op4_lines
 from quern.llm.op5_media import op5_media
+from quern.llm.op6_quality import op6_quality
 from quern.llm.op7_mixing import op7_mixing
 from quern.llm.op8_brown import op8_brown
 from quern.llm.op9_packing import op9_packing
 
 
 def queries():
-    return {f.__name__: f for f in (op3_jaccard, op5_media, op7_mixing, op8_brown, op9_packing, op10_rules)}
+    return {f.__name__: f for f in (op3_jaccard, op4_lines, op5_media, op6_quality, op7_mixing, op8_brown, op9_packing, op10_rules)}
 
 
 def oracle_sql():
