@@ -8,14 +8,16 @@ symmetric differences, in integers.
 2. Shingles are put in one global order: by hash, those found in more than HEAVY prefixes
    last. A set is indexed under the first size - ceil(size * p / q) + 1 shingles of that
    order; linked sets share one of them. Index lists of one set are dropped.
-3. Every list names its first set as hub. A set's hub is the one most of its lists name; the
-   pair is compared once and the difference of the two sets is kept as the set's answer.
-   Sets linked to one hub are a cluster.
+3. Every list names one of its sets, the same for lists that share it, as hub. A set asks the
+   hub that most of its lists name; the difference of the two sets is kept as the set's
+   answer. Sets without a link so far ask again, other hubs, for a few rounds. Components of
+   these links are clusters.
 4. Index-level skipping: within a list only members outside its largest cluster look for
    partners of other clusters, and only in blocks of matching size and position: sets whose
    sizes or positions alone put them too far apart are never paired.
-5. Answer-level skipping: two sets with the same hub are compared by their kept answers,
-   |x delta y| = |(x delta hub) delta (y delta hub)|, without their texts. Other pairs pass a
+5. Answer-level skipping: two sets with the same first hub are too far apart if their
+   distances to it are, and else compared by their kept answers, |x delta y| =
+   |(x delta hub) delta (y delta hub)|, without their texts. Other pairs pass a
    parity bitmap, whose Hamming distance never exceeds |x delta y|, and are compared in full.
 6. Links of hubs and pairs give components.
 
@@ -34,7 +36,9 @@ from pyspark.sql import functions as F
 from quern.llm.common import chunks, materialize, packed, release, shingle_hashes, table, texts, tidy, unpacked, word_hashes
 from quern.llm.graph import components
 
-HEAVY = 64
+HEAVY = 16
+#: Rounds in which sets without a link ask another member of their lists.
+HUB_ROUNDS = 6
 #: At most so many heavy shingles are sent to the tasks (16 MB); beyond it they are joined.
 SENT = 2_000_000
 
@@ -209,25 +213,39 @@ def similar(docs: DataFrame, *, k: int = 5, p: int = 80, q: int = 100, heavy: in
     entries = materialize(_heavy_last(named, first, k, p, q, heavy, sent), "index")
     nodes = materialize(entries.select("node", "size", "bits"), "nodes")
     flat = entries.select("node", "size", F.explode("at").alias("e")).select("e.token", "node", "size", "e.pos")
-    lists = materialize(flat.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1").select("token", "hub"), "lists")
+    lists = materialize(flat.groupBy("token").count().filter("count > 1").select("token"), "lists")
     live = materialize(flat.join(lists, "token"), "live")
     del flat
     release(lists, first, entries)
     tidy(spark)
 
-    votes = live.filter("node <> hub").groupBy("node", "hub").count()
-    chosen = votes.groupBy("node").agg(F.max(F.struct("count", (-F.col("hub")).alias("h"))).alias("m")).select(F.col("node").alias("a"), (-F.col("m.h")).alias("b"))
-    asked = materialize(_near(materialize(chosen, "hubs"), nodes, p, q), "hub-pairs")
-    diffs = _compare(asked.select("a", "b"), named, k)
-    size = F.expr("length(diff) div 8")
-    answers = materialize(asked.join(diffs, ["a", "b"]).withColumn("linked", size * F.lit(q + p) <= (F.col("sa") + F.col("sb")) * F.lit(q - p)), "answers")
-    links = answers.filter("linked").select("a", "b")
-    del diffs
-    tidy(spark)
-
-    # A cluster is a hub and the sets linked to it; a hub may itself belong to another's.
-    cluster = answers.filter("linked").select(F.col("a").alias("node"), F.col("b").alias("cluster"))
-    marked = materialize(live.drop("hub").join(cluster, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "marked")
+    answers, links, loose, size = None, None, None, F.expr("length(diff) div 8")
+    for turn in range(HUB_ROUNDS):
+        hubs = materialize(live.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub")), "hubs")
+        seekers = live if loose is None else live.join(loose, "node", "left_semi")
+        votes = seekers.join(hubs, "token").filter("node <> hub").groupBy("node", "hub").count()
+        chosen = votes.groupBy("node").agg(F.max(F.struct("count", (-F.col("hub")).alias("h"))).alias("m")).select(F.col("node").alias("a"), (-F.col("m.h")).alias("b"))
+        asked = materialize(_near(materialize(chosen, "chosen"), nodes, p, q), "hub-pairs")
+        got = asked.join(_compare(asked.select("a", "b"), named, k), ["a", "b"])
+        got = materialize(got.withColumn("linked", size * F.lit(q + p) <= (F.col("sa") + F.col("sb")) * F.lit(q - p)), "answers")
+        tidy(spark)
+        answers = got if answers is None else answers
+        new = got.filter("linked").select("a", "b")
+        links = new if links is None else materialize(links.unionByName(new), "hub-links")
+        release(hubs)
+        if new.isEmpty() and turn:
+            break
+        tied = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        loose = materialize(live.select("node").distinct().join(tied, "node", "left_anti"), "loose")
+        if loose.isEmpty():
+            break
+
+    # A cluster is a component of the links so far.
+    cluster = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "clusters")
+    cluster = cluster.select("node", F.col("component").alias("cluster"))
+    told = answers.select(F.col("a").alias("node"), F.col("b").alias("hub"), size.alias("away"))
+    marked = live.join(cluster, "node", "left").join(told, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    marked = materialize(marked, "marked")
     release(live)
     sizes = marked.groupBy("token", "cluster").count()
     main = materialize(sizes.groupBy("token").agg(F.max_by("cluster", F.struct("count", "cluster")).alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "main")
@@ -236,9 +254,11 @@ def similar(docs: DataFrame, *, k: int = 5, p: int = 80, q: int = 100, heavy: in
     block = F.floor(F.log("size") / F.lit(max(width, 1e-6))).cast("int")
     # Linked sizes differ by a factor of q/p at most: the same block or the next on either side.
     left = probes.withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
-    right = marked.withColumn("block", block).select("token", "block", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("pos").alias("pos2"), F.col("cluster").alias("cluster2"))
+    right = marked.withColumn("block", block).select("token", "block", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("pos").alias("pos2"), F.col("cluster").alias("cluster2"), F.col("hub").alias("hub2"), F.col("away").alias("away2"))
     limit = F.floor((F.col("size") + F.col("size2")) * F.lit(q - p) / F.lit(q + p))
     fits = (F.col("cluster") != F.col("cluster2")) & (F.col("pos") + F.col("pos2") <= limit) & (F.abs(F.col("size") - F.col("size2")) <= limit)
+    # |x delta y| is at least the difference of their distances to a common hub
+    fits &= ~F.coalesce((F.col("hub") == F.col("hub2")) & (F.abs(F.col("away") - F.col("away2")) > limit), F.lit(False))
     fits &= (F.col("cluster2") == F.col("main")) | (F.col("node") < F.col("node2"))
     pairs = left.join(right, ["token", "block"]).filter(fits)
     pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
