@@ -36,6 +36,20 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
         return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base, np.uint64))])
 
 
+ALL = (1 << 64) - 1
+
+
+def mix_int(x: int) -> int:
+    """``mix`` of one value; an array of one costs ten times as much."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & ALL
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & ALL
+    return x ^ x >> 31
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 class Sums:
     """Hashes of runs of a line's words: sums of word hash times a power of the place."""
 
@@ -48,12 +62,11 @@ class Sums:
         self.n = n
         self.s = np.concatenate([[np.uint64(0)], np.cumsum(mix(words) * Sums.up[:n])])
 
-    def run(self, start: int, stop: int) -> np.uint64:
-        with np.errstate(over="ignore"):
-            return (self.s[stop] - self.s[start]) * Sums.down[start]
+    def run(self, start: int, stop: int) -> int:
+        return (int(self.s[stop]) - int(self.s[start])) * int(Sums.down[start]) & ALL
 
     def whole(self) -> int:
-        return int(mix(self.s[-1:] + np.uint64(self.n))[0].view(np.int64))
+        return signed(mix_int(int(self.s[-1]) + self.n & ALL))
 
     def deletions(self) -> np.ndarray:
         """The ``whole()`` of the line without each of its words."""
@@ -67,7 +80,7 @@ class Sums:
         for n in (self.n, self.n - 1):
             h = n // 2
             for side, x in ((0, self.run(0, h)), (1, self.run(self.n - (n - h), self.n))):
-                out.append(int(mix(np.array([x ^ mix(np.array([n * 2 + side], np.uint64))[0]]))[0].view(np.int64)))
+                out.append(signed(mix_int(x ^ mix_int(n * 2 + side))))
         return out
 
 
