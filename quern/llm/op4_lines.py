@@ -36,98 +36,99 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
         return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base, np.uint64))])
 
 
-ALL = (1 << 64) - 1
-
-
-def mix_int(x: int) -> int:
-    """``mix`` of one value; an array of one costs ten times as much."""
-    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & ALL
-    x = (x ^ x >> 27) * 0x94D049BB133111EB & ALL
-    return x ^ x >> 31
-
-
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 class Sums:
-    """Hashes of runs of a line's words: sums of word hash times a power of the place."""
+    """Hashes of runs of words of many lines at once: sums of word hash times a power of the
+    place in the line. words: those of all lines in a row; sizes: how many each line has."""
 
     up, down = _powers(BASE, 1 << 12), _powers(_INVERSE, 1 << 12)
 
-    def __init__(self, words: np.ndarray):
-        n = len(words)
-        if n >= len(Sums.up):
-            Sums.up, Sums.down = _powers(BASE, 2 * n), _powers(_INVERSE, 2 * n)
-        self.n = n
-        self.s = np.concatenate([[np.uint64(0)], np.cumsum(mix(words) * Sums.up[:n])])
+    def __init__(self, words: np.ndarray, sizes: list[int] | None = None):
+        self.n = np.array([len(words)] if sizes is None else sizes, np.int64)
+        most = int(self.n.max(initial=0))
+        if most >= len(Sums.up):
+            Sums.up, Sums.down = _powers(BASE, 2 * most), _powers(_INVERSE, 2 * most)
+        self.stop = np.cumsum(self.n)
+        self.start = self.stop - self.n
+        self.place = np.arange(len(words)) - np.repeat(self.start, self.n)
+        self.s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words) * Sums.up[self.place])])
 
-    def run(self, start: int, stop: int) -> int:
-        return (int(self.s[stop]) - int(self.s[start])) * int(Sums.down[start]) & ALL
+    def run(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Of every line, the words at places start to stop."""
+        return (self.s[self.start + stop] - self.s[self.start + start]) * Sums.down[start]
 
-    def whole(self) -> int:
-        return signed(mix_int(int(self.s[-1]) + self.n & ALL))
+    def whole(self) -> np.ndarray:
+        return mix(self.s[self.stop] - self.s[self.start] + self.n.astype(np.uint64)).view(np.int64)
 
     def deletions(self) -> np.ndarray:
-        """The ``whole()`` of the line without each of its words."""
-        with np.errstate(over="ignore"):
-            rest = self.s[:-1] + (self.s[-1] - self.s[1:]) * _INVERSE
-            return mix(rest + np.uint64(self.n - 1)).view(np.int64)
-
-    def halves(self) -> list[int]:
-        """First and last part at the cuts of lengths n and n - 1, tagged by length and side."""
+        """For every word, the ``whole()`` of its line without it."""
+        first, last = (np.repeat(self.s[at], self.n) for at in (self.start, self.stop))
+        rest = self.s[:-1] - first + (last - self.s[1:]) * _INVERSE
+        return mix(rest + np.repeat(self.n - 1, self.n).astype(np.uint64)).view(np.int64)
+
+    def halves(self) -> np.ndarray:
+        """A row a line: first and last part at the cuts of lengths n and n - 1, tagged by
+        length and side."""
         out = []
         for n in (self.n, self.n - 1):
             h = n // 2
-            for side, x in ((0, self.run(0, h)), (1, self.run(self.n - (n - h), self.n))):
-                out.append(signed(mix_int(x ^ mix_int(n * 2 + side))))
-        return out
-
-
-def lines_of(text: bytes):
-    """(place, hashes of words) of the lines with words."""
-    for i, line in enumerate(text.split(b"\n")):
-        if words := line.lower().split():
-            yield i, word_hashes(words)
+            for side, x in ((0, self.run(np.zeros_like(h), h)), (1, self.run(self.n - (n - h), self.n))):
+                out.append(mix(x ^ mix((n * 2 + side).astype(np.uint64))).view(np.int64))
+        return np.stack(out, 1)
 
 
 LINES = "doc_id long, th long, line int, h long, n int, halves array<long>"
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """Every line with words; ``halves`` of those with ``least`` words or more."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("n", pa.int32()), ("halves", pa.list_(pa.int64()))])
+
     def run(batches):
         for b in chunks(batches, limit=2 << 20):
-            out = ([], [], [], [], [], [])
-            for d, th, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b), strict=True):
-                for i, words in lines_of(t):
-                    s = Sums(words)
-                    row = (d, th, i, s.whole(), len(words), s.halves() if len(words) >= least else None)
-                    for col, x in zip(out, row, strict=True):
-                        col.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[c.split()[0] for c in LINES.split(", ")])
+            words, sizes, lines, rows = [], [], [], []
+            for k, t in enumerate(texts(b)):
+                for i, line in enumerate(t.lower().split(b"\n")):
+                    if found := line.split():
+                        words += found
+                        sizes.append(len(found))
+                        lines.append(i)
+                        rows.append(k)
+            s = Sums(word_hashes(words), sizes)
+            long = s.n >= least
+            ends = np.concatenate([[0], np.cumsum(long * 4)]).astype(np.int32)
+            halves = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.halves()[long].ravel()))
+            ids = b.select(["doc_id", "th"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(lines, pa.int32()), pa.array(s.whole()), pa.array(s.n.astype(np.int32)), halves], schema=schema)
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, LINES)
 
 
-def _variants(held: DataFrame) -> DataFrame:
-    """Keys of the wanted lines (column ``wanted``: line, h) of packed texts."""
+def _words(held: DataFrame) -> DataFrame:
+    """r and words of the wanted lines (column ``wanted``: line, r) of packed texts."""
 
     def run(batches):
         for b in chunks(batches, "z", 1 << 20):
-            hs, keys, places, kinds = [], [], [], []
-            for wanted, t in zip(b.column(1).to_pylist(), unpacked(b), strict=True):
-                lines = t.split(b"\n")
+            rs, ws = [], []
+            for wanted, t in zip(b.column(0).to_pylist(), unpacked(b), strict=True):
+                lines = t.lower().split(b"\n")
                 for w in wanted:
-                    s = Sums(word_hashes(lines[w["line"]].lower().split()))
-                    d = s.deletions()
-                    hs.append(np.full(len(d) + 1, w["h"], np.int64))
-                    keys.append(np.append(d, s.whole()))
-                    places.append(np.append(np.arange(len(d)), -1).astype(np.int32))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, keys, places)], names=["h", "key", "place"])
+                    rs.append(w["r"])
+                    ws.append(b" ".join(lines[w["line"]].split()))
+            yield pa.RecordBatch.from_arrays([pa.array(rs, pa.int64()), pa.array(ws, pa.binary())], names=["r", "words"])
+
+    return held.select("wanted", "z").mapInArrow(run, "r long, words binary")
+
+
+def _variants(words: DataFrame) -> DataFrame:
+    """A row for every word of every line: the line's hash without it, and its place."""
+
+    def run(batches):
+        for b in chunks(batches, "words", 256 << 10):
+            lines = [w.split() for w in b.column(1).to_pylist()]
+            s = Sums(word_hashes([w for line in lines for w in line]), [len(line) for line in lines])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), s.n)), pa.array(s.deletions()), pa.array(s.place.astype(np.int32))], names=["r", "key", "place"])
 
-    return held.select("wanted", "z").select(F.lit(0).alias("_"), "wanted", "z").mapInArrow(run, "h long, key long, place int")
+    return words.select("r", "words").mapInArrow(run, "r long, key long, place int")
 
 
 def within_one(x: list, y: list) -> bool:
@@ -145,52 +146,50 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     spark = docs.sparkSession
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
     lines = materialize(_lines(docs, least), "lines")
-    distinct = materialize(lines.groupBy("h").agg(F.min(order).alias("o"), F.first("n").alias("n"), F.first("halves").alias("halves")), "distinct-lines")
-    exact = lines.join(distinct.select("h", "o"), "h").filter(order != F.col("o")).select("doc_id", "th", "line")
+    distinct = materialize(lines.groupBy("h").agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("copies")), "distinct-lines")
+    tidy(spark)
+    exact = lines.join(distinct.filter("copies > 1").select("h", "o"), "h").filter(order != F.col("o")).select("doc_id", "th", "line")
+    exact = materialize(exact, "exact")
+    tidy(spark)
+    half = lines.filter("halves is not null").select("h", F.explode("halves").alias("half"))
+    shared = half.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("half")
+    shared = materialize(shared, "halves")
+    tidy(spark)
+    near = materialize(half.join(shared, "half", "left_semi").select("h").distinct(), "near")
     tidy(spark)
-    half = distinct.filter("halves is not null").select("h", F.explode("halves").alias("half"))
-    shared = half.groupBy("half").count().filter("count > 1").select("half")
-    near = half.join(materialize(shared, "halves"), "half", "left_semi").select("h").distinct()
     near = materialize(near.join(distinct, "h").select("h", "o"), "near-lines")
+    # r numbers the near lines in their order, so that it stands for the order from here on
+    near = materialize(near.orderBy("o").withColumn("r", F.monotonically_increasing_id()), "ranked-lines")
+    release(distinct, shared)
+    tidy(spark)
+    wanted = near.groupBy(F.col("o.doc_id").alias("wd"), F.col("o.th").alias("wt")).agg(F.collect_list(F.struct("o.line", "r")).alias("wanted"))
     texts_z = packed(docs.select("doc_id", "th", "text"), "doc_id long, th long")
-    wanted = near.groupBy(F.col("o.doc_id").alias("wd"), F.col("o.th").alias("wt")).agg(F.collect_list(F.struct("o.line", "h")).alias("wanted"))
-    held = texts_z.join(materialize(wanted, "wanted"), F.col("doc_id").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wt"))).select("wanted", "z")
-    held = materialize(held, "wanted-texts")  # a row repeated whole gives its lines twice, to no effect
-    keys = materialize(_variants(held).join(near, "h"), "variants")
+    held = texts_z.join(materialize(wanted, "wanted"), F.col("doc_id").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wt")))
+    words = materialize(_words(held), "held-words")
+    del held, texts_z, wanted
     tidy(spark)
-    best = materialize(keys.groupBy("key", "place").agg(F.min(F.struct("o", "h")).alias("b"), F.count(F.lit(1)).alias("n")), "keys")
+    words = materialize(words.groupBy("r").agg(F.first("words").alias("words")), "near-words")  # a row repeated whole gives its lines twice
+    tidy(spark)
+    keys = materialize(_variants(words), "variants")
     # replaced: the earliest line of the same (place, hash); dropped: a whole line among the variants
-    same = keys.filter("place >= 0").join(best.filter("n > 1 and place >= 0"), ["key", "place"]).select("h", "o", "b")
-    wholes = best.filter("place = -1").select("key", F.col("b").alias("w"))
-    cuts = best.filter("place >= 0").join(wholes, "key")
-    longer = keys.filter("place >= 0").join(wholes.withColumnRenamed("w", "b"), "key").select("h", "o", "b")
-    shorter = cuts.select(F.col("w.h").alias("h"), F.col("w.o").alias("o"), "b")
-    found = same.unionByName(longer).unionByName(shorter).filter(F.col("b.o") < F.col("o"))
-    found = found.groupBy("h").agg(F.first("o").alias("o"), F.collect_set(F.col("b")).alias("bs"))  # at most two a deleted word
-    found = found.select("h", "o", F.explode("bs").alias("b")).select("h", "o", F.col("b.h").alias("eh"))
-    found = materialize(found.distinct(), "edits")
-    words = materialize(_words(held), "near-words")
-    left = found.join(words, "h").withColumnRenamed("words", "x")
-    both = left.join(words.select(F.col("h").alias("eh"), F.col("words").alias("y")), "eh")
-    gone = materialize(_verified(both).distinct(), "gone")
-    release(held, keys, best)
+    best = materialize(keys.groupBy("key", "place").agg(F.min("r").alias("b"), F.max("r").alias("last")).filter("b < last").drop("last"), "keys")
+    tidy(spark)
+    same = materialize(keys.join(best, ["key", "place"]).filter("b < r").select("r", "b").distinct(), "replaced")
+    tidy(spark)
+    cut = materialize(keys.join(near.select(F.col("h").alias("key"), F.col("r").alias("w")), "key").select("r", "w").distinct(), "dropped")
+    release(keys, best)
+    tidy(spark)
+    longer = cut.filter("w < r").select("r", F.col("w").alias("b"))
+    shorter = cut.filter("r < w").groupBy("w").agg(F.min("r").alias("b")).select(F.col("w").alias("r"), "b")
+    found = materialize(same.unionByName(longer).unionByName(shorter).distinct(), "edits")  # at most two a word
+    both = found.join(words.withColumnRenamed("words", "x"), "r").join(words.select(F.col("r").alias("b"), F.col("words").alias("y")), "b")
+    gone = materialize(_verified(both).distinct().join(near, "r").select("h"), "gone")
     edited = lines.join(gone, "h", "left_semi").select("doc_id", "th", "line")
-    return exact.unionByName(edited).groupBy("doc_id", "th").agg(F.array_distinct(F.collect_list("line")).alias("drop"))
-
-
-def _words(held: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in chunks(batches, "z", 1 << 20):
-            hs, ws = [], []
-            for wanted, t in zip(b.column(1).to_pylist(), unpacked(b), strict=True):
-                lines = t.split(b"\n")
-                for w in wanted:
-                    hs.append(w["h"])
-                    ws.append(b" ".join(lines[w["line"]].lower().split()))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ws, pa.binary())], names=["h", "words"])
-
-    return held.select(F.lit(0).alias("_"), "wanted", "z").mapInArrow(run, "h long, words binary").groupBy("h").agg(F.min("words").alias("words"))
+    drops = exact.unionByName(edited).groupBy("doc_id", "th").agg(F.array_distinct(F.collect_list("line")).alias("drop"))
+    drops = materialize(drops, "drops")
+    release(lines, exact, near, words, same, cut, found, gone)
+    tidy(spark)
+    return drops
 
 
 def _verified(both: DataFrame) -> DataFrame:
@@ -198,9 +197,9 @@ def _verified(both: DataFrame) -> DataFrame:
         for b in batches:
             x, y = b.column(1).to_pylist(), b.column(2).to_pylist()
             keep = [within_one(i.split(), j.split()) for i, j in zip(x, y, strict=True)]
-            yield b.select(["h"]).filter(pa.array(keep, pa.bool_()))
+            yield b.select(["r"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("h", "x", "y").mapInArrow(run, "h long")
+    return both.select("r", "x", "y").mapInArrow(run, "r long")
 
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -211,7 +210,7 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     Further columns pass through; no rows give no rows.
     """
     named = docs.withColumn("line_th", F.xxhash64("text"))
-    drops = materialize(repeated(named.select("doc_id", F.col("line_th").alias("th"), "text"), least), "drops")
+    drops = repeated(named.select("doc_id", F.col("line_th").alias("th"), "text"), least)
     drops = drops.select(F.col("doc_id").alias("line_d"), F.col("th").alias("line_t"), "drop")
     joined = named.join(drops, F.col("doc_id").eqNullSafe(F.col("line_d")) & (F.col("line_th") == F.col("line_t")), "left")
     parts = F.split("text", "\n", -1)
