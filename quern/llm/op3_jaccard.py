@@ -5,20 +5,24 @@ s and t the sizes, that is |x delta y| * (q + p) <= (s + t) * (q - p), so all te
 symmetric differences, in integers.
 
 1. Texts with equal sets form a class; its first document stands for it.
-2. Shingles are put in one global order: by hash, those found in more than HEAVY prefixes
-   last. A set is indexed under the first size - ceil(size * p / q) + 1 shingles of that
+2. Shingles are put in one global order: by hash, those found in the first part (two
+   prefixes long) of more than HEAVY sets last. A set is indexed under the first size - ceil(size * p / q) + 1 shingles of that
    order; linked sets share one of them. Index lists of one set are dropped.
-3. Every list names one of its sets, the same for lists that share it, as hub. A set asks the
-   hub that most of its lists name; the difference of the two sets is kept as the set's
-   answer. Sets without a link so far ask again, other hubs, for a few rounds. Components of
-   these links are clusters.
-4. Index-level skipping: within a list only members outside its largest cluster look for
-   partners of other clusters, and only in blocks of matching size and position: sets whose
+3. Every list names as hub the set with the longest lists, which in a group of near copies is
+   one with few edits. A set asks the hub that most of its lists name; where less than a
+   quarter of both sets differs, the difference is kept as the set's answer and the set is of
+   the hub's group. Components of the links to hubs are clusters.
+4. Index-level skipping: within a list only members outside its largest group look for
+   partners of other groups, and only in blocks of matching size and position: sets whose
    sizes or positions alone put them too far apart are never paired.
-5. Answer-level skipping: two sets with the same first hub are too far apart if their
-   distances to it are, and else compared by their kept answers, |x delta y| =
-   |(x delta hub) delta (y delta hub)|, without their texts. Other pairs pass a
-   parity bitmap, whose Hamming distance never exceeds |x delta y|, and are compared in full.
+5. Answer-level skipping: within a group, |x delta y| = |(x delta hub) delta (y delta hub)|.
+   So x and y link only if their answers share an element, or if both link with the hub:
+   |x delta hub| + |y delta hub| <= (s + t) * (q - p) / (q + p), with ||y| - |hub|| at most
+   |y delta hub|, gives |x delta hub| <= (s + |hub|) * (q - p) / (q + p). An index of the
+   answers, rarest elements first, finds the former under as many elements as linked sets
+   may differ in and one more, and they are compared by their answers, without their texts.
+   All other pairs pass a parity bitmap, whose Hamming distance never exceeds |x delta y|,
+   and are compared in full.
 6. Links of hubs and pairs give components.
 
 Shingles are 64-bit hashes of words' 64-bit hashes. A list's length is never capped: hot
@@ -37,8 +41,6 @@ from quern.llm.common import chunks, materialize, packed, release, shingle_hashe
 from quern.llm.graph import components
 
 HEAVY = 16
-#: Rounds in which sets without a link ask another member of their lists.
-HUB_ROUNDS = 6
 #: At most so many heavy shingles are sent to the tasks (16 MB); beyond it they are joined.
 SENT = 2_000_000
 
@@ -74,7 +76,7 @@ def bitmap_distance(a: bytes, b: bytes) -> int:
 
 
 def _sets(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """Size, identity and first prefix of every row's set."""
+    """Size, identity and first part of every row's set."""
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -82,7 +84,7 @@ def _sets(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
             sets = [shingle_set(t, k) for t in texts(b)]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            first = [s[: prefix_size(len(s), p, q)].view(np.int64) for s in sets]
+            first = [s[: 2 * prefix_size(len(s), p, q)].view(np.int64) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first) if first else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), lists], schema=schema)
@@ -157,23 +159,59 @@ def _compare(pairs: DataFrame, named: DataFrame, k: int) -> DataFrame:
     return two.select("a", "b", "za", "z").mapInArrow(run, "a long, b long, diff binary")
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and bitmaps allow a link, with both sizes."""
+def _near(pairs: DataFrame, nodes: DataFrame, most) -> DataFrame:
+    """Pairs (a, b) whose sizes and bitmaps allow a difference of most(sa, sb), with both sizes."""
     left = nodes.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba"))
     right = nodes.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb"))
 
     def run(batches):
         for b in batches:
             x, y = b.column(3).to_pylist(), b.column(5).to_pylist()
-            limit = far(b.column(2).to_numpy().astype(np.int64), b.column(4).to_numpy(), p, q)
-            keep = [bitmap_distance(i, j) <= m for i, j, m in zip(x, y, limit, strict=True)]
+            s, t = (b.column(i).to_numpy().astype(np.int64) for i in (2, 4))
+            keep = [d <= m and bitmap_distance(i, j) <= m for i, j, d, m in zip(x, y, np.abs(s - t), most(s, t), strict=True)]
             yield b.select(["a", "b", "sa", "sb"]).filter(pa.array(keep, pa.bool_()))
 
-    fits = F.abs(F.col("sa") - F.col("sb")) * F.lit(q + p) <= (F.col("sa") + F.col("sb")) * F.lit(q - p)
-    joined = pairs.join(left, "a").join(right, "b").filter(fits).select("a", "b", "sa", "ba", "sb", "bb")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ba", "sb", "bb")
     return joined.mapInArrow(run, "a long, b long, sa int, sb int")
 
 
+def _elements(answers: DataFrame) -> DataFrame:
+    """A row for every element of every answer."""
+
+    def run(batches):
+        for b in chunks(batches, "diff", 1 << 20):
+            tokens = [np.frombuffer(d, np.int64) for d in b.column(2).to_pylist()]
+            n = [len(t) for t in tokens]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(b.column(1).to_numpy(), n)), pa.array(np.concatenate(tokens))], names=["node", "hub", "token"])
+
+    return answers.select("a", "b", "diff").mapInArrow(run, "node long, hub long, token long")
+
+
+def _within_groups(answers: DataFrame, cluster: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b) of a group and of different clusters whose answers allow a link."""
+    elements = materialize(_elements(answers), "elements")
+    often = elements.groupBy("hub", "token").count().filter("count > 1").withColumnRenamed("count", "n")
+    counted = elements.join(materialize(often, "often"), ["hub", "token"], "left")
+    # at most as many elements as the two texts have shingles
+    each = counted.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("all"))
+    told = answers.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("sa").alias("size"), F.expr("length(diff) div 8").alias("away"))
+    told = told.join(cluster, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    most = F.expr(f"cast((size + size * {q} div {p}) * {q - p} div {q + p} as int)")
+    index = each.join(told, "node").select("hub", "node", "size", "away", "cluster", F.posexplode(F.slice("all", 1, most + 1)).alias("pos", "e"))
+    index = materialize(index.filter("e.n > 1").select("hub", "e.token", "pos", "node", "size", "away", "cluster"), "answer-index")
+    sizes = index.groupBy("hub", "token", "cluster").count()
+    main = sizes.groupBy("hub", "token").agg(F.max_by("cluster", F.struct("count", "cluster")).alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    probes = materialize(index.join(materialize(main, "answer-main"), ["hub", "token"]).filter("cluster <> main"), "answer-probes")
+    other = index.select("hub", "token", *(F.col(c).alias(c + "2") for c in ("pos", "node", "size", "away", "cluster")))
+    limit = F.expr(f"(size + size2) * {q - p} div {q + p}")
+    fits = (F.col("cluster") != F.col("cluster2")) & (F.col("pos") + F.col("pos2") <= limit) & (F.abs(F.col("size") - F.col("size2")) <= limit) & (F.abs(F.col("away") - F.col("away2")) <= limit)
+    fits &= (F.col("cluster2") == F.col("main")) | (F.col("node") < F.col("node2"))
+    pairs = probes.join(other, ["hub", "token"]).filter(fits)
+    found = materialize(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "answer-pairs")
+    release(elements, index, probes)
+    return found
+
+
 def _derive(pairs: DataFrame, p: int, q: int) -> DataFrame:
     """Links among pairs with sizes and answers for the same hub."""
 
@@ -213,68 +251,67 @@ def similar(docs: DataFrame, *, k: int = 5, p: int = 80, q: int = 100, heavy: in
     entries = materialize(_heavy_last(named, first, k, p, q, heavy, sent), "index")
     nodes = materialize(entries.select("node", "size", "bits"), "nodes")
     flat = entries.select("node", "size", F.explode("at").alias("e")).select("e.token", "node", "size", "e.pos")
-    lists = materialize(flat.groupBy("token").count().filter("count > 1").select("token"), "lists")
+    lists = materialize(flat.groupBy("token").count().filter("count > 1"), "lists")
     live = materialize(flat.join(lists, "token"), "live")
     del flat
     release(lists, first, entries)
     tidy(spark)
 
-    answers, links, loose, size = None, None, None, F.expr("length(diff) div 8")
-    for turn in range(HUB_ROUNDS):
-        hubs = materialize(live.groupBy("token").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub")), "hubs")
-        seekers = live if loose is None else live.join(loose, "node", "left_semi")
-        votes = seekers.join(hubs, "token").filter("node <> hub").groupBy("node", "hub").count()
-        chosen = votes.groupBy("node").agg(F.max(F.struct("count", (-F.col("hub")).alias("h"))).alias("m")).select(F.col("node").alias("a"), (-F.col("m.h")).alias("b"))
-        asked = materialize(_near(materialize(chosen, "chosen"), nodes, p, q), "hub-pairs")
-        got = asked.join(_compare(asked.select("a", "b"), named, k), ["a", "b"])
-        got = materialize(got.withColumn("linked", size * F.lit(q + p) <= (F.col("sa") + F.col("sb")) * F.lit(q - p)), "answers")
-        tidy(spark)
-        answers = got if answers is None else answers
-        new = got.filter("linked").select("a", "b")
-        links = new if links is None else materialize(links.unionByName(new), "hub-links")
-        release(hubs)
-        if new.isEmpty() and turn:
-            break
-        tied = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        loose = materialize(live.select("node").distinct().join(tied, "node", "left_anti"), "loose")
-        if loose.isEmpty():
-            break
+    def linkable(s, t):
+        return far(s, t, p, q)
+
+    def akin(s, t):
+        return np.maximum(far(s, t, p, q), (s + t) // 4)
+
+    weights = live.groupBy("node").agg(F.avg("count").alias("weight"))
+    hubs = live.select("token", "node").join(materialize(weights, "weights"), "node")
+    hubs = materialize(hubs.groupBy("token").agg(F.max_by("node", F.struct("weight", F.xxhash64("node"))).alias("hub")), "hubs")
+    votes = live.join(hubs, "token").filter("node <> hub").groupBy("node", "hub").count()
+    chosen = votes.groupBy("node").agg(F.max(F.struct("count", (-F.col("hub")).alias("h"))).alias("m")).select(F.col("node").alias("a"), (-F.col("m.h")).alias("b"))
+    asked = materialize(_near(materialize(chosen, "chosen"), nodes, akin), "hub-pairs")
+    size = F.expr("length(diff) div 8")
+    reach = F.expr(f"greatest((sa + sb) * {q - p} div {q + p}, (sa + sb) div 4)")
+    answers = asked.join(_compare(asked.select("a", "b"), named, k), ["a", "b"]).filter(size <= reach)
+    linked = size * F.lit(q + p) <= (F.col("sa") + F.col("sb")) * F.lit(q - p)
+    answers = materialize(answers.withColumn("linked", linked), "answers")
+    links = answers.filter("linked").select("a", "b")
+    release(hubs)
+    tidy(spark)
 
     # A cluster is a component of the links so far.
     cluster = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "clusters")
     cluster = cluster.select("node", F.col("component").alias("cluster"))
-    told = answers.select(F.col("a").alias("node"), F.col("b").alias("hub"), size.alias("away"))
-    marked = live.join(cluster, "node", "left").join(told, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    inside = _within_groups(answers, cluster, p, q)
+    tidy(spark)
+    group = answers.select(F.col("a").alias("node"), F.col("b").alias("group"))
+    marked = live.drop("count").join(cluster, "node", "left").join(group, "node", "left")
+    marked = marked.withColumn("cluster", F.coalesce("cluster", "node")).withColumn("group", F.coalesce("group", "node"))
     marked = materialize(marked, "marked")
     release(live)
-    sizes = marked.groupBy("token", "cluster").count()
-    main = materialize(sizes.groupBy("token").agg(F.max_by("cluster", F.struct("count", "cluster")).alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "main")
-    probes = materialize(marked.join(main, "token").filter("cluster <> main"), "probes")
+    sizes = marked.groupBy("token", "group").count()
+    main = materialize(sizes.groupBy("token").agg(F.max_by("group", F.struct("count", "group")).alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "main")
+    probes = materialize(marked.join(main, "token").filter("group <> main"), "probes")
     width = float(np.log(q / p)) if p < q else 1.0
     block = F.floor(F.log("size") / F.lit(max(width, 1e-6))).cast("int")
     # Linked sizes differ by a factor of q/p at most: the same block or the next on either side.
     left = probes.withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
-    right = marked.withColumn("block", block).select("token", "block", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("pos").alias("pos2"), F.col("cluster").alias("cluster2"), F.col("hub").alias("hub2"), F.col("away").alias("away2"))
+    right = marked.withColumn("block", block).select("token", "block", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("pos").alias("pos2"), F.col("cluster").alias("cluster2"), F.col("group").alias("group2"))
     limit = F.floor((F.col("size") + F.col("size2")) * F.lit(q - p) / F.lit(q + p))
-    fits = (F.col("cluster") != F.col("cluster2")) & (F.col("pos") + F.col("pos2") <= limit) & (F.abs(F.col("size") - F.col("size2")) <= limit)
-    # |x delta y| is at least the difference of their distances to a common hub
-    fits &= ~F.coalesce((F.col("hub") == F.col("hub2")) & (F.abs(F.col("away") - F.col("away2")) > limit), F.lit(False))
-    fits &= (F.col("cluster2") == F.col("main")) | (F.col("node") < F.col("node2"))
+    fits = (F.col("group") != F.col("group2")) & (F.col("cluster") != F.col("cluster2")) & (F.col("pos") + F.col("pos2") <= limit) & (F.abs(F.col("size") - F.col("size2")) <= limit)
+    fits &= (F.col("group2") == F.col("main")) | (F.col("node") < F.col("node2"))
     pairs = left.join(right, ["token", "block"]).filter(fits)
     pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-    rest = materialize(_near(pairs, nodes, p, q), "near-pairs")
-    kept = answers.select("a", F.col("b").alias("hub"), "diff")
-    told = rest.join(kept.select("a", F.col("hub").alias("ha"), F.col("diff").alias("da")), "a", "left").join(kept.select(F.col("a").alias("b"), F.col("hub").alias("hb"), F.col("diff").alias("db")), "b", "left")
-    told = materialize(told.select("a", "b", "sa", "sb", "da", "db", (F.col("ha") == F.col("hb")).alias("same")), "told")
-    release(probes, marked, main, rest)
-    del left, right, pairs, rest, marked, probes, main, sizes
+    rest = materialize(_near(pairs, nodes, linkable), "near-pairs")
+    release(probes, marked, main)
+    del left, right, pairs, marked, probes, main, sizes
     tidy(spark)
-    derived = _derive(told.filter("same"), p, q)
-    asked = told.filter("same is null or not same").select("a", "b", "sa", "sb")
-    full = asked.join(_compare(materialize(asked.select("a", "b"), "full-pairs"), named, k), ["a", "b"]).filter(size * F.lit(q + p) <= (F.col("sa") + F.col("sb")) * F.lit(q - p))
-    links = links.unionByName(derived).unionByName(full.select("a", "b"))
+    full = rest.join(_compare(rest.select("a", "b"), named, k), ["a", "b"]).filter(linked).select("a", "b")
+    full = materialize(full, "full-links")
+    told = _near(inside, nodes, linkable)
+    told = told.join(answers.select("a", F.col("diff").alias("da")), "a").join(answers.select(F.col("a").alias("b"), F.col("diff").alias("db")), "b")
+    links = links.unionByName(full).unionByName(_derive(told, p, q))
 
     links = materialize(links, "all-links")
     release(named)
