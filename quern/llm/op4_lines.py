@@ -12,6 +12,9 @@ Before variants are emitted for a line, one of its halves must equal that of ano
 with one edit between two lines, all before or all after it is the same. So most lines emit
 four keys and not one for each word.
 
+Texts meet the places of their lines by sort-merge join at every size: those places grow
+with the corpus, so a small one's plan is that of a large one.
+
 Lines are ordered by doc_id (null last), then by a hash of the text, then by place. An
 earlier line counts even if it goes itself. Lines without words stay.
 """
@@ -164,7 +167,7 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     tidy(spark)
     wanted = near.groupBy(F.col("o.doc_id").alias("wd"), F.col("o.th").alias("wt")).agg(F.collect_list(F.struct("o.line", "r")).alias("wanted"))
     texts_z = packed(docs.select("doc_id", "th", "text"), "doc_id long, th long")
-    held = texts_z.join(materialize(wanted, "wanted"), F.col("doc_id").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wt")))
+    held = texts_z.join(materialize(wanted, "wanted").hint("merge"), F.col("doc_id").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wt")))
     words = materialize(_words(held), "held-words")
     del held, texts_z, wanted
     tidy(spark)
@@ -212,7 +215,7 @@ def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     named = docs.withColumn("line_th", F.xxhash64("text"))
     drops = repeated(named.select("doc_id", F.col("line_th").alias("th"), "text"), least)
     drops = drops.select(F.col("doc_id").alias("line_d"), F.col("th").alias("line_t"), "drop")
-    joined = named.join(drops, F.col("doc_id").eqNullSafe(F.col("line_d")) & (F.col("line_th") == F.col("line_t")), "left")
+    joined = named.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("line_d")) & (F.col("line_th") == F.col("line_t")), "left")
     parts = F.split("text", "\n", -1)
     dropped = F.coalesce("drop", F.array().cast("array<int>"))
     # only texts that lose lines are cut up
