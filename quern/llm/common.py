@@ -146,6 +146,50 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
+_GAPS = bytes(1 if b in (32, 9, 10, 11, 12, 13) else 0 for b in range(256))
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes whose words are hashed at once; a longer word is hashed alone.
+_SPAN = 1 << 18
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, ... modulo 2**64."""
+    got = _powers.get(base)
+    if got is None or len(got) < n:
+        got = np.full(max(n, 1), base, np.uint64)
+        got[0] = 1
+        got = np.cumprod(got, dtype=np.uint64)
+        if n <= _SPAN + 1:
+            _powers[base] = got
+    return got[:n]
+
+
+def hashed_words(text: bytes) -> np.ndarray:
+    """64-bit hash of every word of text, A-Z lower-cased first.
+
+    A word's hash is the sum of its bytes times powers of an odd base, modulo 2**64, from
+    differences of running sums; its length is mixed in."""
+    text = text.lower()
+    raw = np.frombuffer(text, np.uint8)
+    gap = np.frombuffer(b"\1" + text.translate(_GAPS) + b"\1", np.uint8)
+    turns = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SPAN, "right")))
+        s, e = starts[i:j] - starts[i], ends[i:j] - starts[i]
+        part = raw[starts[i] : ends[j - 1]]
+        n = max(len(part), _SPAN)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part.astype(np.uint64) * _power(_BASE, n)[: len(part)], out=sums[1:])
+        out[i:j] = mix((sums[e] - sums[s]) * _power(_INVERSE, n)[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads the bits of 64-bit values (wraps on purpose)."""
     x = x ^ (x >> np.uint64(30))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks, materialize, release, table, texts, tidy, word_hashes
+from quern.llm.common import chunks, hashed_words, materialize, release, table, texts, tidy
 
 CLUSTERED = 2.0**-16
 HELD = 2.0**-20
@@ -34,7 +34,7 @@ def held_out(column: str = "doc_id"):
 
 
 def token_hashes(text: bytes) -> np.ndarray:
-    return np.append(word_hashes(text.lower().split()), END)
+    return np.append(hashed_words(text), END)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def class_matrix(pairs: DataFrame, classes, k: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m.ravel()[at])], names=["at", "c"])
 
     m = np.zeros(k * k)
-    for r in pairs.mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).collect():
+    for r in pairs.mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).coalesce(1).collect():
         m[r["at"]] = r["c"]
     return m.reshape(k, k)
 
@@ -133,42 +133,37 @@ def association(m: np.ndarray) -> np.ndarray:
 def exchange(pairs: DataFrame, n: int, k: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """Class of words 0..n-1 (by exchange), of the end (k) and of all others (k + 1).
 
-    pairs: v, w, c. Each round is one job: rows meet by word, every word's neighbours are
-    counted by class, and the best class of each word comes back."""
+    pairs: v, w, c. Rows meet by word once; then each round reads them twice without a
+    shuffle of words: class bigrams are counted, and the best class of each word comes back."""
     spark = pairs.sparkSession
     classes = np.concatenate([np.arange(n) % k, [k, k + 1]]).astype(np.int32)
     if n <= 1:
         return classes
-    left = pairs.filter(F.col("w") < n).select("w", F.lit(0).alias("side"), F.col("v").alias("other"), "c")
-    right = pairs.filter(F.col("v") < n).select(F.col("v").alias("w"), F.lit(1).alias("side"), F.col("w").alias("other"), "c")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    around = materialize(left.unionByName(right).repartition(parts, "w").sortWithinPartitions("w"), "contexts")
+    left = pairs.filter(F.col("w") < n).select("w", F.col("v").alias("other"), F.col("c").alias("before"), F.lit(0).cast("long").alias("after"))
+    right = pairs.filter(F.col("v") < n).select(F.col("v").alias("w"), F.col("w").alias("other"), F.lit(0).cast("long").alias("before"), F.col("c").alias("after"))
+    # A word has at most n + 2 words before it and as many after it.
+    around = left.unionByName(right).groupBy("w").agg(F.collect_list("other").alias("other"), F.collect_list("before").alias("before"), F.collect_list("after").alias("after"))
+    around = materialize(around, "contexts")
     for turn in range(rounds):
         now = spark.sparkContext.broadcast(classes)
         pull = spark.sparkContext.broadcast(association(class_matrix(pairs, now, k + 2)))
 
-        def partial(batches, now=now):
+        def best(batches, now=now, pull=pull):
             for b in batches:
-                w, side, c = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy()
-                key = (w.astype(np.int64) * 2 + side) * (k + 2) + now.value[b.column(2).to_numpy()]
-                u, back = np.unique(key, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bincount(back, c, len(u)))], names=["key", "c"])
+                ends = b.column(1).offsets.to_numpy().astype(np.int64)
+                flat = [b.column(j).values.to_numpy() for j in (1, 2, 3)]
+                cl, i = np.empty(b.num_rows, np.int32), 0
+                while i < b.num_rows:  # slices of about a million neighbours
+                    j = max(i + 1, int(np.searchsorted(ends, ends[i] + 1_000_000, "right")) - 1)
+                    part, size = slice(ends[i], ends[j]), (j - i) * (k + 2)
+                    at = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1])) * (k + 2) + now.value[flat[0][part]]
+                    x, y = (np.bincount(at, f[part], size).reshape(j - i, k + 2) for f in flat[1:])
+                    cl[i:j] = (x @ pull.value + y @ pull.value.T)[:, :k].argmax(1)
+                    i = j
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cl)], names=["w", "cl"])
 
-        def best(batches, pull=pull):
-            for b in batches:
-                w, keys, counts = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_pylist()
-                x = np.zeros((len(w), 2 * (k + 2)))
-                for i, (at, c) in enumerate(zip(keys, counts, strict=True)):
-                    x[i, at] = c
-                gain = x[:, : k + 2] @ pull.value + x[:, k + 2 :] @ pull.value.T
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.int32()), pa.array(gain[:, :k].argmax(1).astype(np.int32))], names=["w", "cl"])
-
-        sums = around.mapInArrow(partial, "key long, c double").groupBy("key").agg(F.sum("c").alias("c"))
-        rows = sums.select(F.expr(f"cast(key div {2 * (k + 2)} as int)").alias("w"), F.expr(f"cast(key % {2 * (k + 2)} as int)").alias("at"), "c")
-        # at most 2 * (k + 2) entries a word
-        per = rows.groupBy("w").agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("cs"))
         new = classes.copy()
-        for r in per.mapInArrow(best, "w int, cl int").toLocalIterator():
+        for r in around.mapInArrow(best, "w int, cl int").toLocalIterator():
             if (r["w"] * 2654435761 >> 7) % 2 == turn % 2:
                 new[r["w"]] = r["cl"]
         now.unpersist()
