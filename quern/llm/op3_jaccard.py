@@ -5,8 +5,9 @@ s and t the sizes, that is |x delta y| * (q + p) <= (s + t) * (q - p), so all te
 symmetric differences, in integers.
 
 1. Texts with equal sets form a class; its first document stands for it.
-2. Shingles are put in one global order: by hash, those found in the first part (two
-   prefixes long) of more than HEAVY sets last. A set is indexed under the first size - ceil(size * p / q) + 1 shingles of that
+2. Shingles are put in one global order: by hash, those of more than HEAVY sets last. They
+   are found in the first parts of sets, two prefixes long; then every shingle within REACH
+   words of one of those is counted, as the rest of a shared passage lies there. A set is indexed under the first size - ceil(size * p / q) + 1 shingles of that
    order; linked sets share one of them. Index lists of one set are dropped.
 3. Every list names as hub the set with the longest lists, which in a group of near copies is
    one with few edits. A set asks the hub that most of its lists name; where less than a
@@ -37,17 +38,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks, materialize, packed, release, shingle_hashes, table, texts, tidy, unpacked, word_hashes
+from quern.llm.common import chunks, hashed_words, materialize, packed, release, shingle_hashes, table, texts, tidy, unpacked
 from quern.llm.graph import components
 
 HEAVY = 16
+#: Of a shared passage's shingles at least one in REACH is counted among first parts, nearly always.
+REACH = 32
 #: At most so many heavy shingles are sent to the tasks (16 MB); beyond it they are joined.
 SENT = 2_000_000
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct shingle hashes."""
-    return np.unique(shingle_hashes(word_hashes(text.lower().split()), k))
+    return np.unique(shingle_hashes(hashed_words(text), k))
 
 
 def prefix_size(n: int, p: int, q: int) -> int:
@@ -131,12 +134,49 @@ def _all_tokens(named: DataFrame, k: int) -> DataFrame:
     return named.select("node", "z").mapInArrow(run, "node long, tokens array<long>")
 
 
+def _near_heavy(named: DataFrame, heavy, k: int) -> DataFrame:
+    """Counts (token, c) of the distinct shingles within REACH words of a heavy one."""
+
+    def run(batches):
+        h, parts, size = heavy.value, [], 0
+        for last in (False, True):
+            for b in chunks(batches, "z", 1 << 20) if not last else ():
+                for t in unpacked(b):
+                    s = shingle_hashes(hashed_words(t), k)
+                    at = np.flatnonzero(h[np.minimum(np.searchsorted(h, s), len(h) - 1)] == s)
+                    if not len(at):
+                        continue
+                    edge = np.bincount(np.maximum(at - REACH, 0), minlength=len(s) + 1) - np.bincount(np.minimum(at + REACH + 1, len(s)), minlength=len(s) + 1)
+                    parts.append(np.unique(s[np.cumsum(edge)[:-1] > 0]))
+                    size += len(parts[-1])
+                if size > 3_000_000:
+                    yield merged(parts)
+                    parts, size = [], 0
+        if parts:
+            yield merged(parts)
+
+    def merged(parts):
+        u, c = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["token", "c"])
+
+    return named.select("node", "z").mapInArrow(run, "token long, c long")
+
+
 def _heavy_last(named: DataFrame, sets: DataFrame, k: int, p: int, q: int, most: int, sent: int) -> DataFrame:
     spark = named.sparkSession
+
+    def sorted_hashes(tokens):
+        return np.sort(np.array([r[0] for r in tokens.toLocalIterator()], np.int64).view(np.uint64))
+
     heavy = materialize(sets.select(F.explode("first").alias("token")).groupBy("token").count().filter(F.col("count") > most).select("token"), "heavy")
-    if heavy.count() <= sent:
-        tokens = np.sort(np.array([r[0] for r in heavy.toLocalIterator()], np.int64).view(np.uint64))
-        return _postings(named, spark.sparkContext.broadcast(tokens), k, p, q)
+    found = heavy.count()
+    if 0 < found <= sent:
+        tokens = spark.sparkContext.broadcast(sorted_hashes(heavy))
+        more = _near_heavy(named, tokens, k).groupBy("token").agg(F.sum("c").alias("c")).filter(F.col("c") > most).select("token")
+        heavy = materialize(heavy.unionByName(more).distinct(), "heavy-near")
+        found = heavy.count()
+    if found <= sent:
+        return _postings(named, spark.sparkContext.broadcast(sorted_hashes(heavy)), k, p, q)
     held = _all_tokens(named, k).select("node", F.explode("tokens").alias("token")).join(heavy, "token").groupBy("node").agg(F.array_sort(F.collect_list("token")).alias("heavy"))
     return _postings(named.join(held, "node", "left"), None, k, p, q)
 
