@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from quern.llm.common import hashed_words
 from quern.llm.graph import components
 from quern.llm.op3_jaccard import bitmap, bitmap_distance, op3_jaccard, similar
 
@@ -68,6 +69,30 @@ def test_groups_of_near_copies(spark, heavy, sent):
         assert got(similar(df, k=k, p=p, q=100, heavy=heavy, sent=sent)) == brute(docs, k, p, 100)
 
 
+def test_texts_around_a_shared_passage(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(4000)]
+    passage, docs = [rng.choice(vocab) for _ in range(80)], []
+    for _ in range(8):
+        base = [rng.choice(vocab) for _ in range(rng.randint(20, 120))]
+        for _ in range(rng.randint(1, 25)):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            if rng.random() < 0.6:
+                w[5:5] = passage
+            docs.append((len(docs), " ".join(w)))
+    docs += [(len(docs) + i, " ".join([rng.choice(vocab) for _ in range(rng.randint(3, 30))] + passage)) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(similar(df, k=3, p=90, q=100, heavy=4)) == brute(docs, 3, 90, 100)
+
+
+def test_word_hashes_follow_words():
+    for text in (b"", b" ", b"a" * 700_000, b"a" * 700_000 + b" b", b"\x1c\x85a b\x0bA", b"Zeb ra " * 200_000, "Ünï ÜNÏ x".encode()):
+        words, hashes = text.lower().split(), hashed_words(text).tolist()
+        assert len(words) == len(hashes) and len(set(words)) == len(set(hashes)) == len(set(zip(words, hashes, strict=True)))
+
+
 def test_odd_rows(spark, odd, empty):
     docs = [(r.doc_id, r.text) for r in odd.collect()]
     assert got(similar(odd)) == brute(docs, 5, 80, 100)
