@@ -110,7 +110,7 @@ def _postings(named: DataFrame, heavy, k: int, p: int, q: int) -> DataFrame:
             rows, tokens, pos, ends = [], [], [], [0]
             for i, t in enumerate(unpacked(b)):
                 s = shingle_set(t, k)
-                h = heavy.value if own is None else np.array(own[i] or [], np.int64).view(np.uint64)
+                h = heavy.value if own is None else np.sort(np.array(own[i] or [], np.int64).view(np.uint64))  # signed order is not that of hashes
                 last = np.isin(s, h, assume_unique=True) if len(h) < len(s) else (h[np.minimum(np.searchsorted(h, s), len(h) - 1)] == s if len(h) else np.zeros(len(s), bool))
                 order = np.concatenate([s[~last], s[last]])[: prefix_size(len(s), p, q)]
                 tokens.append(order.view(np.int64))
@@ -177,7 +177,7 @@ def _heavy_last(named: DataFrame, sets: DataFrame, k: int, p: int, q: int, most:
         found = heavy.count()
     if found <= sent:
         return _postings(named, spark.sparkContext.broadcast(sorted_hashes(heavy)), k, p, q)
-    held = _all_tokens(named, k).select("node", F.explode("tokens").alias("token")).join(heavy, "token").groupBy("node").agg(F.array_sort(F.collect_list("token")).alias("heavy"))
+    held = _all_tokens(named, k).select("node", F.explode("tokens").alias("token")).join(heavy, "token").groupBy("node").agg(F.collect_list("token").alias("heavy"))
     return _postings(named.join(held, "node", "left"), None, k, p, q)
 
 

@@ -4,10 +4,11 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 
 from quern.llm.common import hashed_words
 from quern.llm.graph import components
-from quern.llm.op3_jaccard import bitmap, bitmap_distance, op3_jaccard, similar
+from quern.llm.op3_jaccard import _postings, bitmap, bitmap_distance, op3_jaccard, shingle_set, similar
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UP = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -87,6 +88,18 @@ def test_texts_around_a_shared_passage(spark):
     assert got(similar(df, k=3, p=90, q=100, heavy=4)) == brute(docs, 3, 90, 100)
 
 
+def test_joined_heavy_shingles_keep_the_order(spark):
+    """Texts of heavy shingles alone have the same index entries whether those are sent or joined."""
+    rows = []
+    for g in range(40):
+        text = " ".join(f"b{g}x{i}" for i in range(8 + g % 16)).encode()
+        rows.append((g, zstandard.compress(text), shingle_set(text, 3).view(np.int64).tolist()))
+    df = spark.createDataFrame([(n, bytearray(z), sorted(h)) for n, z, h in rows], "node long, z binary, heavy array<long>")
+    sent = spark.sparkContext.broadcast(np.sort(np.concatenate([np.array(h).view(np.uint64) for _, _, h in rows])))
+    joined, want = ({r.node: [e.token for e in r["at"]] for r in _postings(df, h, 3, 80, 100).collect()} for h in (None, sent))
+    assert joined == want
+
+
 def test_word_hashes_follow_words():
     for text in (b"", b" ", b"a" * 700_000, b"a" * 700_000 + b" b", b"\x1c\x85a b\x0bA", b"Zeb ra " * 200_000, "Ünï ÜNÏ x".encode()):
         words, hashes = text.lower().split(), hashed_words(text).tolist()
