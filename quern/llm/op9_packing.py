@@ -7,6 +7,9 @@ with the unused documents of highest BM25 score for the seed. The document that
 window's end is cut there and its rest seeds the next window, so windows are full. What is
 left at a shard's end is cut into sequences whose lengths are powers of two, which need no
 padding.
+
+Document frequencies, the number of documents and their mean length are those of the whole
+table. A seed still finds neighbours in its own shard alone (README: measured recall).
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks, table, texts
+from quern.llm.common import chunks, materialize, table, texts
 
 WINDOW = 2048
 SHARD_DOCS = 512
 END_ID = 1
+#: Rows of statistics that are no token id.
+COUNT, LENGTH = -1, -2
 
 CACHE_WORDS = 600_000
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -81,7 +86,7 @@ def encode_text(text: bytes, words: WordIds) -> bytes:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("deal", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
         if tokenizer not in _words:
@@ -93,11 +98,38 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             ids = [encode_text(t, words) for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x + end for x in ids], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, shard long, ids binary")
+    return docs.mapInArrow(run, "doc_id long, deal long, ids binary")
+
 
+def statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
+    """Of all documents: how many hold each token id, their number, their mean length."""
 
-def neighbour_scores(ids: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
-    """A function: document -> BM25 score of every document of the shard for its terms."""
+    def run(batches):
+        df, seen, n, total = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool), 0, 0
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                x = np.frombuffer(x, "<u2")
+                seen[x] = True
+                df += seen
+                seen[x] = False
+                n, total = n + 1, total + len(x)
+        at = np.flatnonzero(df)
+        what = np.concatenate([at, [COUNT, LENGTH]])
+        yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(np.concatenate([df[at], [n, total]]))], names=["what", "c"])
+
+    sums = tokens.select("ids").mapInArrow(run, "what long, c long").groupBy("what").agg(F.sum("c").alias("c"))
+    got = {r["what"]: r["c"] for r in sums.collect()}  # as many rows as the vocabulary and two
+    df = np.zeros(1 << 16, np.int64)
+    for i in got.keys() - {COUNT, LENGTH}:
+        df[i] = got[i]
+    n = got.get(COUNT, 0)
+    return df, n, got.get(LENGTH, 0) / max(n, 1)
+
+
+def neighbour_scores(ids: list[np.ndarray], stats=None, k1: float = 1.2, b: float = 0.75):
+    """A function: document -> BM25 score of every document of the shard for its terms.
+
+    stats: ``statistics`` of all documents; without, these are all."""
     n = len(ids)
     lens = np.array([len(x) for x in ids], np.float64)
     key = np.repeat(np.arange(n, dtype=np.int64), [len(x) for x in ids]) << 16 | np.concatenate(ids)
@@ -105,26 +137,27 @@ def neighbour_scores(ids: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
     doc, term = pair >> 16, pair & 0xFFFF
     start = np.searchsorted(doc, np.arange(n + 1))
     by_term = np.argsort(term, kind="stable")
-    df = np.bincount(term, minlength=1 << 16)
-    first = np.cumsum(df) - df
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    w = (idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[doc] / lens.mean())))[by_term]
+    here = np.bincount(term, minlength=1 << 16)
+    first = np.cumsum(here) - here
+    df, total, mean = stats or (here, n, lens.mean())
+    idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+    w = (idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[doc] / mean)))[by_term]
     doc = doc[by_term]
 
     def score(seed: int) -> np.ndarray:
         at = term[start[seed] : start[seed + 1]]
-        size = df[at]
+        size = here[at]
         take = np.arange(size.sum()) + np.repeat(first[at] - np.cumsum(size) + size, size)
         return np.bincount(doc[take], w[take], n)
 
     return score
 
 
-def fill(ids: list[np.ndarray], window: int):
-    """Sequences of (document, start, length) for one shard."""
+def fill(ids: list[np.ndarray], window: int, stats=None):
+    """Sequences of (document, start, length) for one shard. stats: as in neighbour_scores."""
     n = len(ids)
     left, lens = np.ones(n, bool), np.array([len(x) for x in ids])
-    score = neighbour_scores(ids)
+    score = neighbour_scores(ids, stats)
     out, carry, first = [], None, 0
     while True:
         if carry is None:
@@ -186,8 +219,11 @@ def pack(docs: DataFrame, *, window: int = WINDOW, shard_docs: int = SHARD_DOCS,
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     path = tokenizer or default_tokenizer()
-    shards = max(1, -(-docs.count() // shard_docs))
-    dealt = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"), "text")
+    tokens = materialize(tokenized(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("deal"), "text"), path, end_id), "tokens")
+    stats = statistics(tokens)
+    shards = max(1, -(-stats[1] // shard_docs))
+    dealt = tokens.select("doc_id", F.pmod("deal", F.lit(shards)).alias("shard"), "ids")
+    shared = docs.sparkSession.sparkContext.broadcast(stats)
     schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
     def run(group: pa.Table) -> pa.Table:
@@ -196,7 +232,7 @@ def pack(docs: DataFrame, *, window: int = WINDOW, shard_docs: int = SHARD_DOCS,
         ids = [np.frombuffer(x, "<u2") for x in group.column("ids").to_pylist()]
         shard = group.column("shard")[0].as_py()
         rows = []
-        for s, seq in enumerate(fill(ids, window)):
+        for s, seq in enumerate(fill(ids, window, shared.value)):
             offset = 0
             for d, at, size in seq:
                 crc = zlib.crc32(ids[d][at : at + size].astype("<u4").tobytes())
@@ -204,7 +240,7 @@ def pack(docs: DataFrame, *, window: int = WINDOW, shard_docs: int = SHARD_DOCS,
                 offset += size
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
-    return tokenized(dealt, path, end_id).groupBy("shard").applyInArrow(run, PIECES)
+    return dealt.groupBy("shard").applyInArrow(run, PIECES)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

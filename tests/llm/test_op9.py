@@ -31,6 +31,26 @@ def test_whole_table(spark, sf):
     check(op9_packing(spark, sf).collect(), docs)
 
 
+def test_scores_use_all_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    tok = Tokenizer.from_file(default_tokenizer())
+    ids = {r.doc_id: np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 1]) for r in docs.collect()}
+    df = np.zeros(1 << 16, np.int64)
+    for x in ids.values():
+        df[np.unique(x)] += 1
+    stats = df, len(ids), sum(map(len, ids.values())) / len(ids)
+    shards = defaultdict(lambda: defaultdict(list))
+    for r in pack(docs, shard_docs=25).collect():
+        shards[r.sequence_id >> 32][r.sequence_id].append((r.offset, r.doc_id, r.start, r.length))
+    other = 0
+    for seqs in shards.values():
+        held = sorted({p[1] for s in seqs.values() for p in s})
+        got = [[(held.index(d), at, size) for _, d, at, size in sorted(seqs[s])] for s in sorted(seqs)]
+        assert got == fill([ids[d] for d in held], 2048, stats)
+        other += got != fill([ids[d] for d in held], 2048)
+    assert len(shards) > 1 and other
+
+
 def test_odd_rows(spark, odd, empty):
     check(pack(odd).collect(), [(r.doc_id, r.text) for r in odd.collect()])
     assert pack(empty).count() == 0
