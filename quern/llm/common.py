@@ -7,7 +7,7 @@ six bytes, and ``bytes.lower()`` lower-cases A-Z alone.
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
 
@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _left: dict[str, SparkSession] = {}
@@ -27,20 +28,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder that spark.checkpoint.dir names; a folder of
-    our own only where that setting is absent (tests on one machine)."""
+    """A fresh path in the shared folder that spark.checkpoint.dir names. Only where that is
+    unset and the whole session is one process (tests) is it a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = _own.setdefault("root", "file://" + tempfile.mkdtemp(prefix="quern-"))
     return f"{root.rstrip('/')}/quern/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage and
-    survives the loss of any executor. ``release`` removes it, else the end of the process."""
+    survives the loss of any executor. Spark drops the write's shuffle files when it ends.
+    ``release`` removes the table, else the end of the process."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _left[path] = spark
     again = spark.read.schema(df.schema).parquet(path)
     again._quern_path = path
@@ -61,13 +73,6 @@ def release(*frames: DataFrame) -> None:
             delete_path(df.sparkSession, path)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are gone: it does so when the
-    driver collects garbage, which a small driver heap may not do for a long time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 @atexit.register
 def _sweep() -> None:
     for path, spark in list(_left.items()):
@@ -212,3 +217,33 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def arrow(fields: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(fields[f.name], f.type) for f in schema], schema=schema)
+
+
+#: Bits of the marks that tasks hold, whatever the corpus (8 MB).
+MARKS = 1 << 26
+_PIECE = 1 << 16
+
+
+def marks(values: DataFrame, bits: int = MARKS) -> np.ndarray:
+    """A bitmap of fixed size in which the bit of every value (a column of longs) is set.
+
+    Others may share a set bit: what is decided by marks must be right for those too."""
+    bit = F.col(values.columns[0]).bitwiseAND(F.lit(bits - 1))
+    rows = values.select(F.shiftright(bit, 16).cast("int").alias("piece"), bit.bitwiseAND(F.lit(_PIECE - 1)).cast("int").alias("at")).distinct()
+
+    def pack(group: pa.Table) -> pa.Table:
+        on = np.zeros(_PIECE, np.uint8)
+        on[group.column("at").to_numpy()] = 1
+        return pa.table({"piece": group.column("piece").slice(0, 1), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(bits // 8, np.uint8)
+    size = _PIECE // 8
+    for r in rows.groupBy("piece").applyInArrow(pack, "piece int, bits binary").collect():  # at most ``bits``
+        out[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def is_marked(held: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the bit of each 64-bit value is set."""
+    at = values.view(np.uint64) & np.uint64(len(held) * 8 - 1)
+    return (held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

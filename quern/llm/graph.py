@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import materialize, release
 
 
-def _mark(edges: DataFrame):
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node (u, v) is either a centre or has one link, to a centre."""
+    ends = edges.select("u", F.lit(1).alias("n")).unionByName(edges.select(F.col("v").alias("u")).distinct().withColumn("n", F.lit(2)))
+    return ends.groupBy("u").agg(F.sum("n").alias("n"), F.max("n").alias("most")).filter("n > 1 and not (n = 2 and most = 2)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,17 +23,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     turned = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = materialize(turned.distinct(), "links")
-    mark = _mark(now)
-    while mark[0]:
-        both = materialize(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), "links-both")
-        low = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "links-low")
+    while not _stars(now):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = materialize(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links-large")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "links-least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u")
         small = moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         new = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-        release(both, low, large, least, now)
-        now, old, mark = new, mark, _mark(new)
-        if mark == old:
-            break
+        release(large, now)
+        now = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -5,29 +5,37 @@ s and t the sizes, that is |x delta y| * (q + p) <= (s + t) * (q - p), so all te
 symmetric differences, in integers.
 
 1. Texts with equal sets form a class; its first document stands for it.
-2. Shingles are put in one global order: by hash, those of more than HEAVY sets last. They
-   are found in the first parts of sets, two prefixes long; then every shingle within REACH
-   words of one of those is counted, as the rest of a shared passage lies there. A set is indexed under the first size - ceil(size * p / q) + 1 shingles of that
-   order; linked sets share one of them. Index lists of one set are dropped.
+2. Shingles are put in one global order: by hash, those marked heavy last. A set is indexed
+   under the first size - ceil(size * p / q) + 1 shingles of that order; linked sets share one
+   of them. Counted are the first parts of all sets, two prefixes long. Where heavy shingles
+   leave fewer than a prefix of others there (a set made of shared passages), all its other
+   shingles are counted too. The marks are a bitmap of fixed size: any marks give one order
+   and so the same links, and a shingle marked by chance only comes later.
 3. Every list names as hub the set with the longest lists, which in a group of near copies is
    one with few edits. A set asks the hub that most of its lists name; where less than a
    quarter of both sets differs, the difference is kept as the set's answer and the set is of
-   the hub's group. Components of the links to hubs are clusters.
+   the hub's group. Sets without a group do so once more among themselves. Components of the
+   links to hubs are clusters.
 4. Index-level skipping: within a list only members outside its largest group look for
-   partners of other groups, and only in blocks of matching size and position: sets whose
-   sizes or positions alone put them too far apart are never paired.
+   partners of other groups, and only in the list's blocks of matching size and position:
+   blocks whose sizes or positions alone put their sets too far apart are never joined, and
+   entries carry a small parity sketch of their sets.
 5. Answer-level skipping: within a group, |x delta y| = |(x delta hub) delta (y delta hub)|.
    So x and y link only if their answers share an element, or if both link with the hub:
    |x delta hub| + |y delta hub| <= (s + t) * (q - p) / (q + p), with ||y| - |hub|| at most
    |y delta hub|, gives |x delta hub| <= (s + |hub|) * (q - p) / (q + p). An index of the
    answers, rarest elements first, finds the former under as many elements as linked sets
-   may differ in and one more, and they are compared by their answers, without their texts.
+   may differ in and one more. In each of its lists those outside the largest cluster ask
+   one of them, a second hub, until that links no more; so copies of a copy join by their
+   hub and not by pairs. Only then do clusters meet in pairs, behind a parity sketch of the
+   answers, and links are derived from answers alone, without texts.
    All other pairs pass a parity bitmap, whose Hamming distance never exceeds |x delta y|,
    and are compared in full.
 6. Links of hubs and pairs give components.
 
 Shingles are 64-bit hashes of words' 64-bit hashes. A list's length is never capped: hot
-lists are ordinary shuffled rows that Spark may split.
+lists are ordinary shuffled rows that Spark may split. Texts are read again only for sets
+that are to be compared or counted whole.
 """
 
 from __future__ import annotations
@@ -35,17 +43,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks, hashed_words, materialize, packed, release, shingle_hashes, table, texts, tidy, unpacked
+from quern.llm.common import MARKS, chunks, hashed_words, is_marked, marks, materialize, release, shingle_hashes, table, texts, unpacked
 from quern.llm.graph import components
 
 HEAVY = 16
-#: Of a shared passage's shingles at least one in REACH is counted among first parts, nearly always.
-REACH = 32
-#: At most so many heavy shingles are sent to the tasks (16 MB); beyond it they are joined.
-SENT = 2_000_000
+#: 64-bit words of an answer's sketch.
+SKETCH = 4
+#: Rounds of hubs, and of second hubs within groups; what they leave is joined in pairs.
+HUBS, TURNS = 2, 2
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -79,8 +88,8 @@ def bitmap_distance(a: bytes, b: bytes) -> int:
 
 
 def _sets(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """Size, identity and first part of every row's set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.list_(pa.int64()))])
+    """Size, identity, bitmap and first part of every row's set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("bits", pa.binary()), ("first", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in chunks(batches, "text"):
@@ -90,101 +99,146 @@ def _sets(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
             first = [s[: 2 * prefix_size(len(s), p, q)].view(np.int64) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first) if first else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), lists], schema=schema)
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            fold = np.array([sketch(s, 2) for s in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sizes, pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(fold[:, 0]), pa.array(fold[:, 1]), pa.array([bitmap(s) for s in sets], pa.binary()), lists], schema=schema)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, k1 long, k2 long, first array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, k1 long, k2 long, f0 long, f1 long, bits binary, first array<long>")
 
 
-POSTING = "node long, size int, bits binary, at array<struct<token: long, pos: int>>"
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, z) of the wanted (node, doc_id, th): only their packed texts are shuffled, and
+    those of a few rows that share a mark with them."""
+    wanted = wanted.withColumn("mark", F.xxhash64("doc_id", "th"))
+    held = docs.sparkSession.sparkContext.broadcast(marks(wanted.select("mark")))
+
+    def run(batches):
+        tool = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            b = b.filter(pa.array(is_marked(held.value, b.column(0).to_numpy())))
+            for c in chunks([b]):
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), c.column(2), pa.array([tool.compress(t) for t in texts(c)], pa.binary())], names=["mark", "d", "t", "z"])
+
+    here = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").select(F.xxhash64("doc_id", "th").alias("mark"), F.col("doc_id").alias("d"), F.col("th").alias("t"), "text")
+    found = here.mapInArrow(run, "mark long, d long, t long, z binary").join(wanted, "mark").filter(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    return found.groupBy("node").agg(F.min("z").alias("z"))  # a row repeated whole is found twice
 
 
-def _postings(named: DataFrame, heavy, k: int, p: int, q: int) -> DataFrame:
-    """The index entries of every class, heavy shingles last. heavy: sorted hashes sent to
-    the tasks, or None where named has each row's own in column ``heavy``."""
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))]
-    names = ["node", "size", "bits", "at"]
+def _lens(column) -> np.ndarray:
+    return np.asarray(column.value_lengths()).astype(np.int64)
+
+
+def _short(classes: DataFrame, heavy, p: int, q: int) -> DataFrame:
+    """(node, doc_id, th) of classes whose first part has fewer than a prefix of light shingles
+    and isn't the whole set."""
 
     def run(batches):
-        for b in chunks(batches, "z", 1 << 20):
-            own = b.column(2).to_pylist() if heavy is None else None
-            rows, tokens, pos, ends = [], [], [], [0]
-            for i, t in enumerate(unpacked(b)):
-                s = shingle_set(t, k)
-                h = heavy.value if own is None else np.sort(np.array(own[i] or [], np.int64).view(np.uint64))  # signed order is not that of hashes
-                last = np.isin(s, h, assume_unique=True) if len(h) < len(s) else (h[np.minimum(np.searchsorted(h, s), len(h) - 1)] == s if len(h) else np.zeros(len(s), bool))
-                order = np.concatenate([s[~last], s[last]])[: prefix_size(len(s), p, q)]
-                tokens.append(order.view(np.int64))
-                pos.append(np.arange(len(order), dtype=np.int32))
-                ends.append(ends[-1] + len(order))
-                rows.append((len(s), bitmap(s)))
-            entries = pa.StructArray.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(pos))], ["token", "pos"])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], kinds[1]), pa.array([r[1] for r in rows], kinds[2]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], names=names)
-
-    columns = ["node", "z"] + (["heavy"] if heavy is None else [])
-    return named.select(*columns).mapInArrow(run, POSTING)
-
-
-def _all_tokens(named: DataFrame, k: int) -> DataFrame:
+        for b in batches:
+            n, size = _lens(b.column(4)), b.column(3).to_numpy()
+            light = np.concatenate([[0], np.cumsum(~is_marked(heavy.value, b.column(4).flatten().to_numpy()))])
+            ends = np.cumsum(n)
+            need = np.array([prefix_size(int(s), p, q) for s in size], np.int64)
+            keep = (n < size) & (light[ends] - light[ends - n] < need)
+            yield b.select(["node", "doc_id", "th"]).filter(pa.array(keep, pa.bool_()))
+
+    return classes.select("node", "doc_id", "th", "size", "first").mapInArrow(run, "node long, doc_id long, th long")
+
+
+def _rest(held: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """The shingles after the first part of every text (node, z)."""
+
     def run(batches):
         for b in chunks(batches, "z", 1 << 20):
             sets = [shingle_set(t, k) for t in unpacked(b)]
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s[2 * prefix_size(len(s), p, q) :] for s in sets]).view(np.int64))], names=["token"])
+
+    return held.select("node", "z").mapInArrow(run, "token long")
 
-    return named.select("node", "z").mapInArrow(run, "node long, tokens array<long>")
 
+ENTRY = "token long, node long, size int, pos int"
 
-def _near_heavy(named: DataFrame, heavy, k: int) -> DataFrame:
-    """Counts (token, c) of the distinct shingles within REACH words of a heavy one."""
+
+def prefixes(node: np.ndarray, size: np.ndarray, n: np.ndarray, flat: np.ndarray, heavy: np.ndarray, p: int, q: int) -> pa.RecordBatch:
+    """Index entries of sets given as n shingles each of flat, in hash order."""
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(row * 2 + is_marked(heavy, flat), kind="stable")
+    row = row[order]
+    pos = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+    need = np.array([prefix_size(int(s), p, q) for s in size], np.int64)
+    keep = pos < need[row]
+    row = row[keep]
+    return pa.RecordBatch.from_arrays([pa.array(flat[order][keep].view(np.int64)), pa.array(node[row]), pa.array(size[row].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["token", "node", "size", "pos"])
+
+
+def _entries(classes: DataFrame, heavy, p: int, q: int) -> DataFrame:
+    """Index entries of classes whose first part holds their prefix."""
+
+    def run(batches):
+        for b in batches:
+            yield prefixes(b.column(0).to_numpy(), b.column(1).to_numpy(), _lens(b.column(2)), b.column(2).flatten().to_numpy(), heavy.value, p, q)
+
+    return classes.select("node", "size", "first").mapInArrow(run, ENTRY)
+
+
+def _whole_entries(held: DataFrame, heavy, k: int, p: int, q: int) -> DataFrame:
+    """Index entries of whole texts (node, z)."""
 
     def run(batches):
-        h, parts, size = heavy.value, [], 0
-        for last in (False, True):
-            for b in chunks(batches, "z", 1 << 20) if not last else ():
-                for t in unpacked(b):
-                    s = shingle_hashes(hashed_words(t), k)
-                    at = np.flatnonzero(h[np.minimum(np.searchsorted(h, s), len(h) - 1)] == s)
-                    if not len(at):
-                        continue
-                    edge = np.bincount(np.maximum(at - REACH, 0), minlength=len(s) + 1) - np.bincount(np.minimum(at + REACH + 1, len(s)), minlength=len(s) + 1)
-                    parts.append(np.unique(s[np.cumsum(edge)[:-1] > 0]))
-                    size += len(parts[-1])
-                if size > 3_000_000:
-                    yield merged(parts)
-                    parts, size = [], 0
-        if parts:
-            yield merged(parts)
-
-    def merged(parts):
-        u, c = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["token", "c"])
-
-    return named.select("node", "z").mapInArrow(run, "token long, c long")
-
-
-def _heavy_last(named: DataFrame, sets: DataFrame, k: int, p: int, q: int, most: int, sent: int) -> DataFrame:
-    spark = named.sparkSession
-
-    def sorted_hashes(tokens):
-        return np.sort(np.array([r[0] for r in tokens.toLocalIterator()], np.int64).view(np.uint64))
-
-    heavy = materialize(sets.select(F.explode("first").alias("token")).groupBy("token").count().filter(F.col("count") > most).select("token"), "heavy")
-    found = heavy.count()
-    if 0 < found <= sent:
-        tokens = spark.sparkContext.broadcast(sorted_hashes(heavy))
-        more = _near_heavy(named, tokens, k).groupBy("token").agg(F.sum("c").alias("c")).filter(F.col("c") > most).select("token")
-        heavy = materialize(heavy.unionByName(more).distinct(), "heavy-near")
-        found = heavy.count()
-    if found <= sent:
-        return _postings(named, spark.sparkContext.broadcast(sorted_hashes(heavy)), k, p, q)
-    held = _all_tokens(named, k).select("node", F.explode("tokens").alias("token")).join(heavy, "token").groupBy("node").agg(F.collect_list("token").alias("heavy"))
-    return _postings(named.join(held, "node", "left"), None, k, p, q)
-
-
-def _compare(pairs: DataFrame, named: DataFrame, k: int) -> DataFrame:
+        for b in chunks(batches, "z", 1 << 20):
+            sets = [shingle_set(t, k) for t in unpacked(b)]
+            n = np.array([len(s) for s in sets], np.int64)
+            yield prefixes(b.column(0).to_numpy(), n, n, np.concatenate(sets), heavy.value, p, q)
+
+    return held.select("node", "z").mapInArrow(run, ENTRY)
+
+
+def _index(docs: DataFrame, classes: DataFrame, k: int, p: int, q: int, most: int, bits: int) -> DataFrame:
+    """The entries of all classes, heavy shingles last.
+
+    At most bits / 8 shingles are marked: where more have over ``most`` sets, the bar doubles.
+    That keeps the marks of use and changes the order alone."""
+    spark = docs.sparkSession
+
+    def marked(tokens: DataFrame, name: str) -> np.ndarray:
+        counts = materialize(tokens.groupBy("token").count().filter(F.col("count") > most), name)
+        bar = most
+        while counts.filter(F.col("count") > bar).count() > bits // 8:
+            bar *= 2
+        found = marks(counts.filter(F.col("count") > bar).select("token"), bits)
+        release(counts)
+        return found
+
+    heavy = marked(classes.select(F.explode("first").alias("token")), "heavy")
+    sent = spark.sparkContext.broadcast(heavy)
+    short = materialize(_short(classes, sent, p, q), "short")
+    held = materialize(_texts_of(docs, short), "short-texts")
+    both = spark.sparkContext.broadcast(heavy | marked(_rest(held, k, p, q), "heavy-rest"))
+    release(held, short)
+    short = materialize(_short(classes, both, p, q), "short")
+    enough = classes.select("node", "size", "first").join(short.select("node"), "node", "left_anti")
+    entries = _entries(enough, both, p, q).unionByName(_whole_entries(_texts_of(docs, short), both, k, p, q))
+    entries = materialize(entries, "index")
+    release(short)
+    return entries
+
+
+def sketch(elements: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """Parities of the counts of elements by hash, as 64-bit words."""
+    at = np.bincount((elements & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(at.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _apart(words: list[str]):
+    """At least how far the sets with these sketches, and those with the same of ``2``, differ."""
+    return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "2"))) for c in words), F.lit(0))
+
+
+def _compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """pairs (a, b) with ``diff``: the sorted symmetric difference of the two sets."""
-    one = pairs.join(named.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
-    two = one.join(named.select(F.col("node").alias("b"), "z"), "b")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = materialize(_texts_of(docs, classes.select("node", "doc_id", "th").join(wanted, "node")), "pair-texts")
+    one = pairs.join(held.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
+    two = one.join(held.select(F.col("node").alias("b"), "z"), "b")
 
     def run(batches):
         last = (None, None)
@@ -196,7 +250,9 @@ def _compare(pairs: DataFrame, named: DataFrame, k: int) -> DataFrame:
                 diffs.append(np.setxor1d(shingle_set(text_a, k), last[1], assume_unique=True).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(diffs, pa.binary())], names=["a", "b", "diff"])
 
-    return two.select("a", "b", "za", "z").mapInArrow(run, "a long, b long, diff binary")
+    out = materialize(two.select("a", "b", "za", "z").mapInArrow(run, "a long, b long, diff binary"), "compared")
+    release(held)
+    return out
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, most) -> DataFrame:
@@ -227,29 +283,70 @@ def _elements(answers: DataFrame) -> DataFrame:
     return answers.select("a", "b", "diff").mapInArrow(run, "node long, hub long, token long")
 
 
-def _within_groups(answers: DataFrame, cluster: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a, b) of a group and of different clusters whose answers allow a link."""
+def _told(answers: DataFrame) -> DataFrame:
+    """node, hub, size, away (the length of the answer) and sketch of every answer."""
+
+    def run(batches):
+        for b in batches:
+            diffs = [np.frombuffer(d, np.uint64) for d in b.column(3).to_pylist()]
+            words = np.array([sketch(d) for d in diffs], np.int64).reshape(-1, SKETCH)
+            away = pa.array([len(d) for d in diffs], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), away, *(pa.array(words[:, i]) for i in range(SKETCH))], names=["node", "hub", "size", "away", *SKETCHES])
+
+    columns = "node long, hub long, size int, away int, " + ", ".join(f"{c} long" for c in SKETCHES)
+    return answers.select("a", "b", "sa", "diff").mapInArrow(run, columns)
+
+
+SKETCHES = [f"w{i}" for i in range(SKETCH)]
+
+
+def _within_groups(answers: DataFrame, links: DataFrame, p: int, q: int) -> DataFrame:
+    """Links (a, b) within groups: those given (to hubs) and those told by the answers' index."""
     elements = materialize(_elements(answers), "elements")
     often = elements.groupBy("hub", "token").count().filter("count > 1").withColumnRenamed("count", "n")
-    counted = elements.join(materialize(often, "often"), ["hub", "token"], "left")
+    often = materialize(often, "often")
+    counted = elements.join(often, ["hub", "token"], "left")
     # at most as many elements as the two texts have shingles
     each = counted.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("all"))
-    told = answers.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("sa").alias("size"), F.expr("length(diff) div 8").alias("away"))
-    told = told.join(cluster, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
     most = F.expr(f"cast((size + size * {q} div {p}) * {q - p} div {q + p} as int)")
-    index = each.join(told, "node").select("hub", "node", "size", "away", "cluster", F.posexplode(F.slice("all", 1, most + 1)).alias("pos", "e"))
-    index = materialize(index.filter("e.n > 1").select("hub", "e.token", "pos", "node", "size", "away", "cluster"), "answer-index")
-    sizes = index.groupBy("hub", "token", "cluster").count()
-    main = sizes.groupBy("hub", "token").agg(F.max_by("cluster", F.struct("count", "cluster")).alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    probes = materialize(index.join(materialize(main, "answer-main"), ["hub", "token"]).filter("cluster <> main"), "answer-probes")
-    other = index.select("hub", "token", *(F.col(c).alias(c + "2") for c in ("pos", "node", "size", "away", "cluster")))
+    place = ["hub", "node", "size", "away", *SKETCHES]
+    index = each.join(_told(answers), "node").select(*place, F.posexplode(F.slice("all", 1, most + 1)).alias("pos", "e"))
+    index = materialize(index.filter("e.n > 1").select(*place, "e.token", "pos"), "answer-index")
+    release(elements, often)
     limit = F.expr(f"(size + size2) * {q - p} div {q + p}")
-    fits = (F.col("cluster") != F.col("cluster2")) & (F.col("pos") + F.col("pos2") <= limit) & (F.abs(F.col("size") - F.col("size2")) <= limit) & (F.abs(F.col("away") - F.col("away2")) <= limit)
-    fits &= (F.col("cluster2") == F.col("main")) | (F.col("node") < F.col("node2"))
-    pairs = probes.join(other, ["hub", "token"]).filter(fits)
-    found = materialize(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "answer-pairs")
-    release(elements, index, probes)
-    return found
+    fits = (F.col("cluster") != F.col("cluster2")) & (F.col("pos") + F.col("pos2") <= limit) & (F.abs(F.col("size") - F.col("size2")) <= limit) & (F.abs(F.col("away") - F.col("away2")) <= limit) & (_apart(SKETCHES) <= limit)
+
+    def told(pairs: DataFrame) -> DataFrame:
+        left = answers.select("a", "sa", F.col("diff").alias("da"))
+        right = answers.select(F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("diff").alias("db"))
+        return materialize(_derive(pairs.join(left, "a").join(right, "b"), p, q), "told-links")
+
+    found, turn = links, 0
+    while True:
+        cluster = materialize(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "clusters")
+        here = index.join(cluster.select("node", F.col("component").alias("cluster")), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+        here = materialize(here, "answer-clusters")
+        sizes = here.groupBy("hub", "token", "cluster").count()
+        main = sizes.groupBy("hub", "token").agg(F.max_by("cluster", F.struct("count", "cluster")).alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        probes = materialize(here.join(materialize(main, "answer-main"), ["hub", "token"]).filter("cluster <> main"), "answer-probes")
+        lists = here.select("hub", "token", *(F.col(c).alias(c + "2") for c in ("pos", "node", "size", "away", "cluster", *SKETCHES)))
+        if turn < TURNS:
+            # the second hub of a list: the one of its probes that is nearest to the hub
+            rank = F.struct("away", F.xxhash64("node", F.lit(turn)), "node")
+            second = probes.groupBy("hub", "token").agg(F.min_by("node", rank).alias("node2"))
+            asked = probes.join(second, ["hub", "token"]).join(lists, ["hub", "token", "node2"]).filter(fits)
+            asked = asked.groupBy("node", "node2").count().groupBy("node").agg(F.max_by("node2", F.struct("count", "node2")).alias("node2"))
+            new = told(asked.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct())
+            release(probes, here, cluster)
+            turn = turn + 1 if not new.isEmpty() else TURNS
+            found = found.unionByName(new)
+            continue
+        once = (F.col("cluster2") == F.col("main")) | (F.col("node") < F.col("node2"))
+        pairs = probes.join(lists, ["hub", "token"]).filter(fits & once)
+        pairs = materialize(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "answer-pairs")
+        found = materialize(found.unionByName(told(pairs)), "group-links")
+        release(index, here, probes, pairs, cluster)
+        return found
 
 
 def _derive(pairs: DataFrame, p: int, q: int) -> DataFrame:
@@ -265,37 +362,47 @@ def _derive(pairs: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb", "da", "db").mapInArrow(run, "a long, b long")
 
 
-def similar(docs: DataFrame, *, k: int = 5, p: int = 80, q: int = 100, heavy: int = HEAVY, sent: int = SENT) -> DataFrame:
+def similar(docs: DataFrame, *, k: int = 5, p: int = 80, q: int = 100, heavy: int = HEAVY, bits: int = MARKS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
 
     component_id is the smallest doc_id reachable by links, a null doc_id counting as the
     largest; texts without words (or null) have an empty set and only themselves. Rows that
     repeat a doc_id with another text are documents of their own; rows repeated whole share a
-    class. Further columns are ignored; no rows give no rows.
+    class. A very long text is a set like any other, its shingles those of the whole text.
+    Further columns are ignored; no rows give no rows.
     """
-    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    sets, of_class, labels = _labelled(docs, k, p, q, heavy, bits)
+    lowest = materialize(labels.groupBy("component").agg(F.min("doc_id").alias("component_id")), "lowest")
+    named = of_class.join(lowest, "component").select("k1", "k2", "component_id")
+    out = sets.filter("n_shingles > 0").join(materialize(named, "of-class"), ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
+    return out.unionByName(sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def firsts(docs: DataFrame, *, k: int = 5, p: int = 80, q: int = 100, heavy: int = HEAVY, bits: int = MARKS) -> DataFrame:
+    """(doc_id, th) of the row that stands for each component: the first by doc_id (null last),
+    then by th, the hash of its text. Rows without words stand for themselves."""
+    sets, _, labels = _labelled(docs.select("doc_id", "text"), k, p, q, heavy, bits)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    stand = labels.groupBy("component").agg(F.min(order).alias("r")).select("r.doc_id", "r.th")
+    return stand.unionByName(sets.filter("n_shingles = 0").select("doc_id", "th").distinct())
+
+
+def _labelled(docs: DataFrame, k: int, p: int, q: int, heavy: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' sets, each class's component, and the same with the class's first row."""
     first = materialize(_sets(docs, k, p, q), "sets")
-    sets = materialize(first.drop("first"), "set-keys")
-    some = sets.filter("n_shingles > 0")
+    sets = materialize(first.drop("first", "bits", "f0", "f1"), "set-keys")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    classes = some.groupBy("k1", "k2").agg(F.min(order).alias("r"), F.first("n_shingles").alias("size")).select("k1", "k2", "r.doc_id", "r.th", "size")
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    stand = classes.select(F.col("doc_id").alias("rd"), F.col("th").alias("rt"), "node")
-    here = packed(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), "doc_id long, th long")
-    named = here.join(stand, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("th") == F.col("rt"))).select("node", "z")
-    if not some.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
-        named = named.groupBy("node").agg(F.min("z").alias("z"))  # a row repeated whole
-    named = materialize(named, "class-texts")
-    tidy(spark)
-
-    entries = materialize(_heavy_last(named, first, k, p, q, heavy, sent), "index")
-    nodes = materialize(entries.select("node", "size", "bits"), "nodes")
-    flat = entries.select("node", "size", F.explode("at").alias("e")).select("e.token", "node", "size", "e.pos")
+    one = first.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min(order).alias("r"), F.first("n_shingles").alias("size"), *(F.first(c).alias(c) for c in ("f0", "f1", "bits", "first")))
+    classes = one.select("k1", "k2", "r.doc_id", "r.th", "size", "f0", "f1", "bits", "first").withColumn("node", F.monotonically_increasing_id())
+    classes = materialize(classes, "classes")
+    release(first)
+    nodes = classes.select("node", F.col("size").cast("int").alias("size"), "bits")
+
+    flat = _index(docs, classes, k, p, q, heavy, bits)
     lists = materialize(flat.groupBy("token").count().filter("count > 1"), "lists")
     live = materialize(flat.join(lists, "token"), "live")
-    del flat
-    release(lists, first, entries)
-    tidy(spark)
+    release(lists, flat)
 
     def linkable(s, t):
         return far(s, t, p, q)
@@ -303,66 +410,68 @@ def similar(docs: DataFrame, *, k: int = 5, p: int = 80, q: int = 100, heavy: in
     def akin(s, t):
         return np.maximum(far(s, t, p, q), (s + t) // 4)
 
-    weights = live.groupBy("node").agg(F.avg("count").alias("weight"))
-    hubs = live.select("token", "node").join(materialize(weights, "weights"), "node")
-    hubs = materialize(hubs.groupBy("token").agg(F.max_by("node", F.struct("weight", F.xxhash64("node"))).alias("hub")), "hubs")
-    votes = live.join(hubs, "token").filter("node <> hub").groupBy("node", "hub").count()
-    chosen = votes.groupBy("node").agg(F.max(F.struct("count", (-F.col("hub")).alias("h"))).alias("m")).select(F.col("node").alias("a"), (-F.col("m.h")).alias("b"))
-    asked = materialize(_near(materialize(chosen, "chosen"), nodes, akin), "hub-pairs")
+    weights = materialize(live.groupBy("node").agg(F.avg("count").alias("weight")), "weights")
     size = F.expr("length(diff) div 8")
     reach = F.expr(f"greatest((sa + sb) * {q - p} div {q + p}, (sa + sb) div 4)")
-    answers = asked.join(_compare(asked.select("a", "b"), named, k), ["a", "b"]).filter(size <= reach)
     linked = size * F.lit(q + p) <= (F.col("sa") + F.col("sb")) * F.lit(q - p)
-    answers = materialize(answers.withColumn("linked", linked), "answers")
-    links = answers.filter("linked").select("a", "b")
-    release(hubs)
-    tidy(spark)
-
+    parts, pool = [], live
+    for turn in range(HUBS):
+        rank = F.struct("weight", F.xxhash64("node")) if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
+        hubs = pool.select("token", "node").join(weights, "node").groupBy("token").agg(F.max_by("node", rank).alias("hub"))
+        hubs = materialize(hubs, "hubs")
+        votes = pool.join(hubs, "token").filter("node <> hub").groupBy("node", "hub").count()
+        chosen = votes.groupBy("node").agg(F.max(F.struct("count", (-F.col("hub")).alias("h"))).alias("m")).select(F.col("node").alias("a"), (-F.col("m.h")).alias("b"))
+        asked = materialize(_near(materialize(chosen, "chosen"), nodes, akin), "hub-pairs")
+        compared = _compare(asked.select("a", "b"), docs, classes, k)
+        part = asked.join(compared, ["a", "b"]).filter(size <= reach).withColumn("linked", linked)
+        parts.append(materialize(part, "answers"))
+        release(hubs, compared)
+        taken = parts[-1].select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        pool = pool.join(taken, "node", "left_anti")
+    answers = parts[0]
+    for part in parts[1:]:
+        answers = answers.unionByName(part)
+    release(weights)
+
+    links = _within_groups(answers, answers.filter("linked").select("a", "b"), p, q)
     # A cluster is a component of the links so far.
     cluster = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "clusters")
     cluster = cluster.select("node", F.col("component").alias("cluster"))
-    inside = _within_groups(answers, cluster, p, q)
-    tidy(spark)
     group = answers.select(F.col("a").alias("node"), F.col("b").alias("group"))
-    marked = live.drop("count").join(cluster, "node", "left").join(group, "node", "left")
+    folds = classes.select("node", "f0", "f1")
+    marked = live.drop("count").join(folds, "node").join(cluster, "node", "left").join(group, "node", "left")
     marked = marked.withColumn("cluster", F.coalesce("cluster", "node")).withColumn("group", F.coalesce("group", "node"))
     marked = materialize(marked, "marked")
     release(live)
     sizes = marked.groupBy("token", "group").count()
     main = materialize(sizes.groupBy("token").agg(F.max_by("group", F.struct("count", "group")).alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "main")
     probes = materialize(marked.join(main, "token").filter("group <> main"), "probes")
+    release(main)
     width = float(np.log(q / p)) if p < q else 1.0
     block = F.floor(F.log("size") / F.lit(max(width, 1e-6))).cast("int")
+    # Two places add up to no more than linked sets may differ in, so one is in a first half:
+    # of the most that a set may differ from a linked one.
+    late = (F.col("pos") * 2 > F.expr(f"(size + size * {q} div {p}) * {q - p} div {q + p}")).cast("int")
     # Linked sizes differ by a factor of q/p at most: the same block or the next on either side.
-    left = probes.withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
-    right = marked.withColumn("block", block).select("token", "block", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("pos").alias("pos2"), F.col("cluster").alias("cluster2"), F.col("group").alias("group2"))
+    left = probes.withColumn("block", F.explode(F.array(block - 1, block, block + 1))).withColumn("late", F.explode(F.when(late == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    right = marked.withColumn("block", block).select("token", "block", late.alias("late"), F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("pos").alias("pos2"), F.col("cluster").alias("cluster2"), F.col("group").alias("group2"), F.col("f0").alias("f02"), F.col("f1").alias("f12"))
     limit = F.floor((F.col("size") + F.col("size2")) * F.lit(q - p) / F.lit(q + p))
-    fits = (F.col("group") != F.col("group2")) & (F.col("cluster") != F.col("cluster2")) & (F.col("pos") + F.col("pos2") <= limit) & (F.abs(F.col("size") - F.col("size2")) <= limit)
+    fits = (F.col("group") != F.col("group2")) & (F.col("cluster") != F.col("cluster2")) & (F.col("pos") + F.col("pos2") <= limit) & (F.abs(F.col("size") - F.col("size2")) <= limit) & (_apart(["f0", "f1"]) <= limit)
     fits &= (F.col("group2") == F.col("main")) | (F.col("node") < F.col("node2"))
-    pairs = left.join(right, ["token", "block"]).filter(fits)
+    pairs = left.join(right, ["token", "block", "late"]).filter(fits)
     pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    release(probes, marked)
     rest = materialize(_near(pairs, nodes, linkable), "near-pairs")
-    release(probes, marked, main)
-    del left, right, pairs, marked, probes, main, sizes
-    tidy(spark)
-    full = rest.join(_compare(rest.select("a", "b"), named, k), ["a", "b"]).filter(linked).select("a", "b")
-    full = materialize(full, "full-links")
-    told = _near(inside, nodes, linkable)
-    told = told.join(answers.select("a", F.col("diff").alias("da")), "a").join(answers.select(F.col("a").alias("b"), F.col("diff").alias("db")), "b")
-    links = links.unionByName(full).unionByName(_derive(told, p, q))
-
-    links = materialize(links, "all-links")
-    release(named)
-    tidy(spark)
+    full = rest.join(_compare(rest.select("a", "b"), docs, classes, k), ["a", "b"]).filter(linked).select("a", "b")
+    links = materialize(links.unionByName(full), "all-links")
+    release(pairs, rest, *parts)
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    labels = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labels = materialize(labels.select("k1", "k2", "doc_id", "component"), "labels")
-    lowest = materialize(labels.groupBy("component").agg(F.min("doc_id").alias("component_id")), "lowest")
-    of_class = materialize(labels.join(lowest, "component").select("k1", "k2", "component_id"), "of-class")
-    out = sets.filter("n_shingles > 0").drop("first", "th").join(of_class, ["k1", "k2"]).select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    labels = classes.select("k1", "k2", "doc_id", "th", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labels = materialize(labels.select("k1", "k2", "doc_id", "th", "component"), "labels")
+    release(classes)
+    return sets, labels.select("k1", "k2", "component"), labels
 
 
 def op3_jaccard(spark, sf_dir: str) -> DataFrame:

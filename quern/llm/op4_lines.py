@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks, materialize, mix, packed, release, texts, tidy, unpacked, word_hashes
+from quern.llm.common import chunks, materialize, mix, packed, release, texts, unpacked, word_hashes
 from quern.llm.common import table as read_table
 
 LEAST = 8
@@ -150,38 +150,28 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
     lines = materialize(_lines(docs, least), "lines")
     distinct = materialize(lines.groupBy("h").agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("copies")), "distinct-lines")
-    tidy(spark)
     exact = lines.join(distinct.filter("copies > 1").select("h", "o"), "h").filter(order != F.col("o")).select("doc_id", "th", "line")
     exact = materialize(exact, "exact")
-    tidy(spark)
     half = lines.filter("halves is not null").select("h", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("half")
     shared = materialize(shared, "halves")
-    tidy(spark)
     near = materialize(half.join(shared, "half", "left_semi").select("h").distinct(), "near")
-    tidy(spark)
     near = materialize(near.join(distinct, "h").select("h", "o"), "near-lines")
     # r numbers the near lines in their order, so that it stands for the order from here on
     near = materialize(near.orderBy("o").withColumn("r", F.monotonically_increasing_id()), "ranked-lines")
     release(distinct, shared)
-    tidy(spark)
     wanted = near.groupBy(F.col("o.doc_id").alias("wd"), F.col("o.th").alias("wt")).agg(F.collect_list(F.struct("o.line", "r")).alias("wanted"))
     texts_z = packed(docs.select("doc_id", "th", "text"), "doc_id long, th long")
     held = texts_z.join(materialize(wanted, "wanted").hint("merge"), F.col("doc_id").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wt")))
     words = materialize(_words(held), "held-words")
     del held, texts_z, wanted
-    tidy(spark)
     words = materialize(words.groupBy("r").agg(F.first("words").alias("words")), "near-words")  # a row repeated whole gives its lines twice
-    tidy(spark)
     keys = materialize(_variants(words), "variants")
     # replaced: the earliest line of the same (place, hash); dropped: a whole line among the variants
     best = materialize(keys.groupBy("key", "place").agg(F.min("r").alias("b"), F.max("r").alias("last")).filter("b < last").drop("last"), "keys")
-    tidy(spark)
     same = materialize(keys.join(best, ["key", "place"]).filter("b < r").select("r", "b").distinct(), "replaced")
-    tidy(spark)
     cut = materialize(keys.join(near.select(F.col("h").alias("key"), F.col("r").alias("w")), "key").select("r", "w").distinct(), "dropped")
     release(keys, best)
-    tidy(spark)
     longer = cut.filter("w < r").select("r", F.col("w").alias("b"))
     shorter = cut.filter("r < w").groupBy("w").agg(F.min("r").alias("b")).select(F.col("w").alias("r"), "b")
     found = materialize(same.unionByName(longer).unionByName(shorter).distinct(), "edits")  # at most two a word
@@ -191,7 +181,6 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     drops = exact.unionByName(edited).groupBy("doc_id", "th").agg(F.array_distinct(F.collect_list("line")).alias("drop"))
     drops = materialize(drops, "drops")
     release(lines, exact, near, words, same, cut, found, gone)
-    tidy(spark)
     return drops
 
 

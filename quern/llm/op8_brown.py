@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks, hashed_words, materialize, release, table, texts, tidy
+from quern.llm.common import chunks, hashed_words, materialize, release, table, texts
 
 CLUSTERED = 2.0**-16
 HELD = 2.0**-20
@@ -231,20 +231,17 @@ def score(docs: DataFrame, held, *, classes: int = CLASSES, rounds: int = ROUNDS
     marked = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text")
     train = marked.filter(~F.col("held_out"))
     vocabulary = materialize(_counted(train), "vocabulary")
-    tidy(spark)
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = vocabulary.filter(F.col("c") >= n * HELD)  # at most 1 / HELD rows
     got = frequent.toPandas()
     heads = Heads(got["h"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy(np.int64), n * CLUSTERED)
     shared = spark.sparkContext.broadcast(heads)
     pairs = materialize(_bigrams(train, shared), "bigrams")
-    tidy(spark)
     found = exchange(pairs, heads.n, classes, rounds)
     m = class_matrix(pairs, spark.sparkContext.broadcast(found), classes + 2)
     model = Model(heads, found, m, n, v, 0)
     release(pairs)
     parts = materialize(_partial_scores(marked, spark.sparkContext.broadcast(model)).withColumn("row", F.monotonically_increasing_id()), "partial-scores")
-    tidy(spark)
     rare = vocabulary.filter(F.col("c") < n * HELD)
     tail = parts.select("row", F.explode("tail").alias("t")).select("row", "t.h", "t.m").join(rare, "h", "left")
     c, times = F.coalesce("c", F.lit(0)), F.col("m")

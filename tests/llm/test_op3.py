@@ -4,11 +4,11 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-import zstandard
 
-from quern.llm.common import hashed_words
+from quern.llm import op3_jaccard as op3
+from quern.llm.common import hashed_words, is_marked, marks
 from quern.llm.graph import components
-from quern.llm.op3_jaccard import _postings, bitmap, bitmap_distance, op3_jaccard, shingle_set, similar
+from quern.llm.op3_jaccard import bitmap, bitmap_distance, firsts, op3_jaccard, prefix_size, prefixes, similar, sketch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UP = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -52,9 +52,10 @@ def test_whole_table(spark, sf):
     assert got(op3_jaccard(spark, sf)) == brute(docs, 3, 90, 100)
 
 
-@pytest.mark.parametrize(("heavy", "sent"), [(64, 2_000_000), (3, 2_000_000), (3, 0)])
-def test_groups_of_near_copies(spark, heavy, sent):
-    rng = random.Random(heavy + sent)
+@pytest.mark.parametrize(("heavy", "bits", "k", "p"), [(64, 1 << 26, 3, 90), (3, 1 << 26, 5, 60), (3, 1 << 16, 2, 80)])
+def test_groups_of_near_copies(spark, heavy, bits, k, p):
+    """The last has so few marks that the bar rises and light shingles are marked by chance."""
+    rng = random.Random(heavy + bits)
     vocab = [f"w{i}" for i in range(60)]
     docs = []
     for g in range(6):
@@ -66,8 +67,7 @@ def test_groups_of_near_copies(spark, heavy, sent):
             docs.append((len(docs), " ".join(w)))
     docs += [(len(docs), ""), (len(docs) + 1, None), (len(docs) + 2, "a"), (len(docs) + 3, "A"), (len(docs) + 4, "a b")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for k, p in ((3, 90), (2, 80), (5, 60)):
-        assert got(similar(df, k=k, p=p, q=100, heavy=heavy, sent=sent)) == brute(docs, k, p, 100)
+    assert got(similar(df, k=k, p=p, q=100, heavy=heavy, bits=bits)) == brute(docs, k, p, 100)
 
 
 def test_texts_around_a_shared_passage(spark):
@@ -88,16 +88,52 @@ def test_texts_around_a_shared_passage(spark):
     assert got(similar(df, k=3, p=90, q=100, heavy=4)) == brute(docs, 3, 90, 100)
 
 
-def test_joined_heavy_shingles_keep_the_order(spark):
-    """Texts of heavy shingles alone have the same index entries whether those are sent or joined."""
-    rows = []
-    for g in range(40):
-        text = " ".join(f"b{g}x{i}" for i in range(8 + g % 16)).encode()
-        rows.append((g, zstandard.compress(text), shingle_set(text, 3).view(np.int64).tolist()))
-    df = spark.createDataFrame([(n, bytearray(z), sorted(h)) for n, z, h in rows], "node long, z binary, heavy array<long>")
-    sent = spark.sparkContext.broadcast(np.sort(np.concatenate([np.array(h).view(np.uint64) for _, _, h in rows])))
-    joined, want = ({r.node: [e.token for e in r["at"]] for r in _postings(df, h, 3, 80, 100).collect()} for h in (None, sent))
-    assert joined == want
+def test_copies_of_a_distant_copy_join_by_second_hubs(spark, monkeypatch):
+    """Near copies of texts that are akin to a hub but not linked with it, with and without rounds."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(5000)]
+    base, docs = [rng.choice(vocab) for _ in range(120)], []
+    for _ in range(4):
+        far = list(base)
+        for i in rng.sample(range(len(far)), 4):
+            far[i] = rng.choice(vocab)
+        for _ in range(30):
+            w = list(far)
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+            docs.append((len(docs), " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, 3, 90, 100)
+    assert got(similar(df, k=3, p=90, q=100, heavy=4)) == want
+    monkeypatch.setattr(op3, "TURNS", 0)
+    assert got(similar(df, k=3, p=90, q=100, heavy=4)) == want
+
+
+def test_prefixes_put_marked_shingles_last():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (1, 7, 200)]
+    heavy = np.zeros(1 << 20, np.uint8)
+    for x in np.concatenate(sets)[::3] & np.uint64(8 * len(heavy) - 1):
+        heavy[x >> np.uint64(3)] |= np.uint8(1 << int(x & np.uint64(7)))
+    n = np.array([len(s) for s in sets])
+    got_ = prefixes(np.arange(3), n, n, np.concatenate(sets), heavy, 80, 100).to_pylist()
+    for i, s in enumerate(sets):
+        last = is_marked(heavy, s)
+        want = np.concatenate([s[~last], s[last]])[: prefix_size(len(s), 80, 100)].view(np.int64).tolist()
+        mine = [r for r in got_ if r["node"] == i]
+        assert [r["token"] for r in mine] == want and [r["pos"] for r in mine] == list(range(len(want)))
+
+
+def test_marks_hold_every_value(spark):
+    values = [0, -1, 5, 2**62, -(2**63), 2**31 - 1]
+    held = marks(spark.createDataFrame([(v,) for v in values], "v long"), 1 << 20)
+    assert is_marked(held, np.array(values)).all() and not is_marked(held, np.array([7, 9, 2**33 + 77])).any()
+    assert not marks(spark.createDataFrame([], "v long"), 1 << 20).any()
+
+
+def test_first_rows_of_components(spark):
+    t, u = "a b c d e f g h", "x y z u v w q r"
+    df = spark.createDataFrame([(5, t), (5, u), (3, t), (None, u), (None, t), (None, ""), (7, None), (5, u)], "doc_id long, text string")
+    assert sorted((r.doc_id if r.doc_id is not None else -1) for r in firsts(df).collect()) == [-1, 3, 5, 7]
 
 
 def test_word_hashes_follow_words():
@@ -118,6 +154,7 @@ def test_bitmaps_never_exceed_the_difference():
         x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         y = np.unique(np.concatenate([x[: n * 9 // 10], rng.integers(0, 2**63, n // 5).astype(np.uint64)]))
         assert bitmap_distance(bitmap(x), bitmap(y)) <= len(np.setxor1d(x, y))
+        assert np.bitwise_count(sketch(x) ^ sketch(y)).sum() <= len(np.setxor1d(x, y))
 
 
 def test_components(spark):
