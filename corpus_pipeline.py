@@ -24,13 +24,15 @@ def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component; null doc_ids stay."""
-    found = op3_jaccard.similar(docs.select("doc_id", "text"))
-    first = materialize(found.filter("doc_id = component_id").select("doc_id").distinct(), "first-of-group")
-    kept = docs.join(first, "doc_id", "left_semi")
-    if not docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The first row of each component: the smallest doc_id (null last), then the least text
+    hash. Rows that repeat a doc_id with an unlike text stay; of rows repeated whole one stays."""
+    first = materialize(op3_jaccard.firsts(docs), "first-of-group").select(F.col("doc_id").alias("near_d"), F.col("th").alias("near_t"))
+    here = docs.withColumn("near_th", F.xxhash64("text"))
+    kept = here.join(first, F.col("doc_id").eqNullSafe(F.col("near_d")) & (F.col("near_th") == F.col("near_t")), "left_semi")
+    again = kept.groupBy("doc_id", "near_th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "near_th"])
+    return kept.select(*docs.columns)
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
