@@ -86,9 +86,21 @@ def _sweep() -> None:
         shutil.rmtree(_own["root"].removeprefix("file://"), ignore_errors=True)
 
 
-def chunks(batches, column: str = "text", limit: int = 4 << 20):
+def fresh(columns, *names: str) -> list[str]:
+    """The names, with what it takes to differ from all columns (whatever their case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def chunks(batches, column: str = "text", limit: int = 4 << 20, rows: int = 1 << 20):
     """Slices of Arrow batches with about ``limit`` bytes of ``column`` (a longer row is a
-    slice of its own), so that Python objects made of a slice stay small."""
+    slice of its own) and at most so many rows, so that objects made of a slice stay small."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -100,7 +112,7 @@ def chunks(batches, column: str = "text", limit: int = 4 << 20):
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, base + limit, "right"))))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -14,8 +14,7 @@ symmetric differences, in integers.
 3. Every list names as hub the set with the longest lists, which in a group of near copies is
    one with few edits. A set asks the hub that most of its lists name; where less than a
    quarter of both sets differs, the difference is kept as the set's answer and the set is of
-   the hub's group. Sets without a group do so once more among themselves. Components of the
-   links to hubs are clusters.
+   the hub's group. The sets that link with one hub, and it, are a cluster.
 4. Index-level skipping: within a list only members outside its largest group look for
    partners of other groups, and only in the list's blocks of matching size and position:
    blocks whose sizes or positions alone put their sets too far apart are never joined, and
@@ -26,8 +25,8 @@ symmetric differences, in integers.
    |y delta hub|, gives |x delta hub| <= (s + |hub|) * (q - p) / (q + p). An index of the
    answers, rarest elements first, finds the former under as many elements as linked sets
    may differ in and one more. In each of its lists those outside the largest cluster ask
-   one of them, a second hub, until that links no more; so copies of a copy join by their
-   hub and not by pairs. Only then do clusters meet in pairs, behind a parity sketch of the
+   one of them, a second hub, and its links are of its cluster; so copies of a copy join by
+   their hub and not by pairs. Only then do clusters meet in pairs, behind a parity sketch of the
    answers, and links are derived from answers alone, without texts.
    All other pairs pass a parity bitmap, whose Hamming distance never exceeds |x delta y|,
    and are compared in full.
@@ -40,6 +39,8 @@ that are to be compared or counted whole.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -53,8 +54,8 @@ from quern.llm.graph import components
 HEAVY = 16
 #: 64-bit words of an answer's sketch.
 SKETCH = 4
-#: Rounds of hubs, and of second hubs within groups; what they leave is joined in pairs.
-HUBS, TURNS = 2, 2
+#: Rounds of second hubs within groups; what they leave is joined in pairs.
+TURNS = 1
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -300,8 +301,9 @@ def _told(answers: DataFrame) -> DataFrame:
 SKETCHES = [f"w{i}" for i in range(SKETCH)]
 
 
-def _within_groups(answers: DataFrame, links: DataFrame, p: int, q: int) -> DataFrame:
-    """Links (a, b) within groups: those given (to hubs) and those told by the answers' index."""
+def _within_groups(answers: DataFrame, links: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) within groups: those given (to hubs) and those told by the answers' index.
+    And (node, cluster) of sets with a hub that they link with; equal clusters are connected."""
     elements = materialize(_elements(answers), "elements")
     often = elements.groupBy("hub", "token").count().filter("count > 1").withColumnRenamed("count", "n")
     often = materialize(often, "often")
@@ -321,32 +323,29 @@ def _within_groups(answers: DataFrame, links: DataFrame, p: int, q: int) -> Data
         right = answers.select(F.col("a").alias("b"), F.col("sa").alias("sb"), F.col("diff").alias("db"))
         return materialize(_derive(pairs.join(left, "a").join(right, "b"), p, q), "told-links")
 
-    found, turn = links, 0
-    while True:
-        cluster = materialize(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "clusters")
-        here = index.join(cluster.select("node", F.col("component").alias("cluster")), "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
-        here = materialize(here, "answer-clusters")
+    found = [links]
+    label = links.select(F.col("a").alias("node"), F.col("b").alias("cluster"))  # a set asks one hub
+    for turn in range(TURNS + 1):
+        here = index.join(label, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
         sizes = here.groupBy("hub", "token", "cluster").count()
         main = sizes.groupBy("hub", "token").agg(F.max_by("cluster", F.struct("count", "cluster")).alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        probes = materialize(here.join(materialize(main, "answer-main"), ["hub", "token"]).filter("cluster <> main"), "answer-probes")
+        probes = materialize(here.join(main, ["hub", "token"]).filter("cluster <> main"), "answer-probes")
         lists = here.select("hub", "token", *(F.col(c).alias(c + "2") for c in ("pos", "node", "size", "away", "cluster", *SKETCHES)))
         if turn < TURNS:
             # the second hub of a list: the one of its probes that is nearest to the hub
-            rank = F.struct("away", F.xxhash64("node", F.lit(turn)), "node")
-            second = probes.groupBy("hub", "token").agg(F.min_by("node", rank).alias("node2"))
+            second = probes.groupBy("hub", "token").agg(F.min_by("node", F.struct("away", F.xxhash64("node"), "node")).alias("node2"))
             asked = probes.join(second, ["hub", "token"]).join(lists, ["hub", "token", "node2"]).filter(fits)
             asked = asked.groupBy("node", "node2").count().groupBy("node").agg(F.max_by("node2", F.struct("count", "node2")).alias("node2"))
-            new = told(asked.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct())
-            release(probes, here, cluster)
-            turn = turn + 1 if not new.isEmpty() else TURNS
-            found = found.unionByName(new)
-            continue
-        once = (F.col("cluster2") == F.col("main")) | (F.col("node") < F.col("node2"))
-        pairs = probes.join(lists, ["hub", "token"]).filter(fits & once)
-        pairs = materialize(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "answer-pairs")
-        found = materialize(found.unionByName(told(pairs)), "group-links")
-        release(index, here, probes, pairs, cluster)
-        return found
+            found.append(told(asked.select(F.col("node").alias("a"), F.col("node2").alias("b"))))
+            new = found[-1].select(F.col("a").alias("node"), F.col("b").alias("second"))
+            label = label.join(new, "node", "full").select("node", F.coalesce("second", "cluster").alias("cluster"))
+        else:
+            once = (F.col("cluster2") == F.col("main")) | (F.col("node") < F.col("node2"))
+            pairs = probes.join(lists, ["hub", "token"]).filter(fits & once)
+            found.append(told(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()))
+        release(probes)
+    release(index)
+    return reduce(DataFrame.unionByName, found), label
 
 
 def _derive(pairs: DataFrame, p: int, q: int) -> DataFrame:
@@ -414,29 +413,17 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, heavy: int, bits: int) ->
     size = F.expr("length(diff) div 8")
     reach = F.expr(f"greatest((sa + sb) * {q - p} div {q + p}, (sa + sb) div 4)")
     linked = size * F.lit(q + p) <= (F.col("sa") + F.col("sb")) * F.lit(q - p)
-    parts, pool = [], live
-    for turn in range(HUBS):
-        rank = F.struct("weight", F.xxhash64("node")) if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
-        hubs = pool.select("token", "node").join(weights, "node").groupBy("token").agg(F.max_by("node", rank).alias("hub"))
-        hubs = materialize(hubs, "hubs")
-        votes = pool.join(hubs, "token").filter("node <> hub").groupBy("node", "hub").count()
-        chosen = votes.groupBy("node").agg(F.max(F.struct("count", (-F.col("hub")).alias("h"))).alias("m")).select(F.col("node").alias("a"), (-F.col("m.h")).alias("b"))
-        asked = materialize(_near(materialize(chosen, "chosen"), nodes, akin), "hub-pairs")
-        compared = _compare(asked.select("a", "b"), docs, classes, k)
-        part = asked.join(compared, ["a", "b"]).filter(size <= reach).withColumn("linked", linked)
-        parts.append(materialize(part, "answers"))
-        release(hubs, compared)
-        taken = parts[-1].select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        pool = pool.join(taken, "node", "left_anti")
-    answers = parts[0]
-    for part in parts[1:]:
-        answers = answers.unionByName(part)
-    release(weights)
-
-    links = _within_groups(answers, answers.filter("linked").select("a", "b"), p, q)
-    # A cluster is a component of the links so far.
-    cluster = materialize(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "clusters")
-    cluster = cluster.select("node", F.col("component").alias("cluster"))
+    rank = F.struct("weight", F.xxhash64("node"))
+    hubs = live.select("token", "node").join(weights, "node").groupBy("token").agg(F.max_by("node", rank).alias("hub"))
+    votes = live.join(materialize(hubs, "hubs"), "token").filter("node <> hub").groupBy("node", "hub").count()
+    chosen = votes.groupBy("node").agg(F.max(F.struct("count", (-F.col("hub")).alias("h"))).alias("m")).select(F.col("node").alias("a"), (-F.col("m.h")).alias("b"))
+    asked = materialize(_near(chosen, nodes, akin), "hub-pairs")
+    compared = _compare(asked.select("a", "b"), docs, classes, k)
+    answers = asked.join(compared, ["a", "b"]).filter(size <= reach).withColumn("linked", linked)
+    answers = materialize(answers, "answers")
+    release(weights, compared)
+
+    links, cluster = _within_groups(answers, answers.filter("linked").select("a", "b"), p, q)
     group = answers.select(F.col("a").alias("node"), F.col("b").alias("group"))
     folds = classes.select("node", "f0", "f1")
     marked = live.drop("count").join(folds, "node").join(cluster, "node", "left").join(group, "node", "left")
@@ -444,9 +431,8 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, heavy: int, bits: int) ->
     marked = materialize(marked, "marked")
     release(live)
     sizes = marked.groupBy("token", "group").count()
-    main = materialize(sizes.groupBy("token").agg(F.max_by("group", F.struct("count", "group")).alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "main")
+    main = sizes.groupBy("token").agg(F.max_by("group", F.struct("count", "group")).alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     probes = materialize(marked.join(main, "token").filter("group <> main"), "probes")
-    release(main)
     width = float(np.log(q / p)) if p < q else 1.0
     block = F.floor(F.log("size") / F.lit(max(width, 1e-6))).cast("int")
     # Two places add up to no more than linked sets may differ in, so one is in a first half:
@@ -466,7 +452,7 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, heavy: int, bits: int) ->
     rest = materialize(_near(pairs, nodes, linkable), "near-pairs")
     full = rest.join(_compare(rest.select("a", "b"), docs, classes, k), ["a", "b"]).filter(linked).select("a", "b")
     links = materialize(links.unionByName(full), "all-links")
-    release(pairs, rest, *parts)
+    release(pairs, rest, answers)
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     labels = classes.select("k1", "k2", "doc_id", "th", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labels = materialize(labels.select("k1", "k2", "doc_id", "th", "component"), "labels")

@@ -25,7 +25,8 @@ ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "one", "en", "a",
 
 @pytest.fixture(scope="session")
 def odd(spark):
-    return spark.createDataFrame([(*r, 0, 0, "k") for r in ODD], DOC + ", size long, start long, key string")
+    clash = "size long, start long, key string, drop long, line_th long, line_drop long, copies long, mix_row long, quality_score double, quality_text string, near_th long, h long, node long, th long"
+    return spark.createDataFrame([(*r, 0, 0, "k", 1, 2, 3, 4, 5, 0.5, "q", 6, 7, 8, 9) for r in ODD], DOC + ", " + clash)
 
 
 @pytest.fixture(scope="session")
