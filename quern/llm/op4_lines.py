@@ -15,7 +15,7 @@ four keys and not one for each word.
 Texts meet the places of their lines by sort-merge join at every size: those places grow
 with the corpus, so a small one's plan is that of a large one.
 
-Lines are ordered by doc_id (null last), then by a hash of the text, then by place. An
+Equal lines are those with equal 128-bit hashes. Lines are ordered by doc_id (null last), then by a hash of the text, then by place. An
 earlier line counts even if it goes itself. Lines without words stay.
 """
 
@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks, materialize, mix, packed, release, texts, unpacked, word_hashes
+from quern.llm.common import chunks, fresh, materialize, mix, packed, release, texts, unpacked, word_hashes
 from quern.llm.common import table as read_table
 
 LEAST = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -54,6 +55,7 @@ class Sums:
         self.start = self.stop - self.n
         self.place = np.arange(len(words)) - np.repeat(self.start, self.n)
         self.s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words) * Sums.up[self.place])])
+        self.words = words
 
     def run(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Of every line, the words at places start to stop."""
@@ -62,6 +64,11 @@ class Sums:
     def whole(self) -> np.ndarray:
         return mix(self.s[self.stop] - self.s[self.start] + self.n.astype(np.uint64)).view(np.int64)
 
+    def second(self) -> np.ndarray:
+        """A hash of the whole line that shares nothing with ``whole`` but the words' hashes."""
+        t = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.words ^ _OTHER) * Sums.up[self.place])])
+        return mix(t[self.stop] - t[self.start] ^ self.n.astype(np.uint64)).view(np.int64)
+
     def deletions(self) -> np.ndarray:
         """For every word, the ``whole()`` of its line without it."""
         first, last = (np.repeat(self.s[at], self.n) for at in (self.start, self.stop))
@@ -79,12 +86,12 @@ class Sums:
         return np.stack(out, 1)
 
 
-LINES = "doc_id long, th long, line int, h long, n int, halves array<long>"
+LINES = "doc_id long, th long, line int, h long, h2 long, n int, halves array<long>"
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     """Every line with words; ``halves`` of those with ``least`` words or more."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("n", pa.int32()), ("halves", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("h", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()), ("halves", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in chunks(batches, limit=2 << 20):
@@ -101,7 +108,7 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(long * 4)]).astype(np.int32)
             halves = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.halves()[long].ravel()))
             ids = b.select(["doc_id", "th"]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(lines, pa.int32()), pa.array(s.whole()), pa.array(s.n.astype(np.int32)), halves], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(lines, pa.int32()), pa.array(s.whole()), pa.array(s.second()), pa.array(s.n.astype(np.int32)), halves], schema=schema)
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, LINES)
 
@@ -149,14 +156,14 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     spark = docs.sparkSession
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
     lines = materialize(_lines(docs, least), "lines")
-    distinct = materialize(lines.groupBy("h").agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("copies")), "distinct-lines")
-    exact = lines.join(distinct.filter("copies > 1").select("h", "o"), "h").filter(order != F.col("o")).select("doc_id", "th", "line")
+    distinct = materialize(lines.groupBy("h", "h2").agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("copies")), "distinct-lines")
+    exact = lines.join(distinct.filter("copies > 1").select("h", "h2", "o"), ["h", "h2"]).filter(order != F.col("o")).select("doc_id", "th", "line")
     exact = materialize(exact, "exact")
     half = lines.filter("halves is not null").select("h", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("half")
     shared = materialize(shared, "halves")
     near = materialize(half.join(shared, "half", "left_semi").select("h").distinct(), "near")
-    near = materialize(near.join(distinct, "h").select("h", "o"), "near-lines")
+    near = materialize(near.join(distinct, "h").select("h", "h2", "o"), "near-lines")
     # r numbers the near lines in their order, so that it stands for the order from here on
     near = materialize(near.orderBy("o").withColumn("r", F.monotonically_increasing_id()), "ranked-lines")
     release(distinct, shared)
@@ -176,8 +183,8 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     shorter = cut.filter("r < w").groupBy("w").agg(F.min("r").alias("b")).select(F.col("w").alias("r"), "b")
     found = materialize(same.unionByName(longer).unionByName(shorter).distinct(), "edits")  # at most two a word
     both = found.join(words.withColumnRenamed("words", "x"), "r").join(words.select(F.col("r").alias("b"), F.col("words").alias("y")), "b")
-    gone = materialize(_verified(both).distinct().join(near, "r").select("h"), "gone")
-    edited = lines.join(gone, "h", "left_semi").select("doc_id", "th", "line")
+    gone = materialize(_verified(both).distinct().join(near, "r").select("h", "h2"), "gone")
+    edited = lines.join(gone, ["h", "h2"], "left_semi").select("doc_id", "th", "line")
     drops = exact.unionByName(edited).groupBy("doc_id", "th").agg(F.array_distinct(F.collect_list("line")).alias("drop"))
     drops = materialize(drops, "drops")
     release(lines, exact, near, words, same, cut, found, gone)
@@ -197,19 +204,28 @@ def _verified(both: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs with ``line_text``, ``n_lines``, ``n_dropped``: each text without its repeated lines.
 
-    A null text stays null and has no lines. Rows that repeat a doc_id with another text are
-    documents of their own; rows repeated whole are one document and are treated alike.
-    Further columns pass through; no rows give no rows.
+    A null text stays null and has no lines; an empty one has one line without words, which
+    stays. Of equal lines the first in (doc_id, text hash, place) stays. Rows that repeat a
+    doc_id with another text are documents of their own; rows repeated whole are one document
+    and are treated alike. A very long text or line is cut at no place: all its words count.
+    Further columns pass through, but for those named like a result, which it replaces; no
+    rows give no rows.
     """
-    named = docs.withColumn("line_th", F.xxhash64("text"))
-    drops = repeated(named.select("doc_id", F.col("line_th").alias("th"), "text"), least)
-    drops = drops.select(F.col("doc_id").alias("line_d"), F.col("th").alias("line_t"), "drop")
-    joined = named.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("line_d")) & (F.col("line_th") == F.col("line_t")), "left")
+    return _dedup(docs, least, ("line_text", "n_lines", "n_dropped"))
+
+
+def _dedup(docs: DataFrame, least: int, results) -> DataFrame:
+    th, d, t, drop = fresh([*docs.columns, *results], "line_th", "line_d", "line_t", "line_drop")
+    named = docs.withColumn(th, F.xxhash64("text"))
+    drops = repeated(named.select("doc_id", F.col(th).alias("th"), "text"), least)
+    drops = drops.select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("drop").alias(drop))
+    joined = named.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(th) == F.col(t)), "left")
     parts = F.split("text", "\n", -1)
-    dropped = F.coalesce("drop", F.array().cast("array<int>"))
+    dropped = F.coalesce(drop, F.array().cast("array<int>"))
     # only texts that lose lines are cut up
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("drop"), i)), "\n")
-    return joined.withColumn("line_text", F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept)).withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0))).withColumn("n_dropped", F.size(dropped)).drop("line_th", "line_d", "line_t", "drop")
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(drop), i)), "\n")
+    values = (F.when(F.col(drop).isNull(), F.col("text")).otherwise(kept), F.coalesce(F.size(parts), F.lit(0)), F.size(dropped))
+    return joined.withColumns(dict(zip(results, values, strict=True))).drop(th, d, t, drop)
 
 
 def op4_lines(spark, sf_dir: str) -> DataFrame:
@@ -219,11 +235,12 @@ def op4_lines(spark, sf_dir: str) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs with the repeated lines cut out of text (n_chars follows); a document whose every
-    line with words stands in earlier documents goes."""
+    line with words stands in earlier documents goes. All docs' columns come back."""
     columns = docs.columns
-    out = dedup(docs, least)
-    has_word = F.col("line_text").rlike(r"[^\x20\x09-\x0D]")
-    out = out.filter((F.col("n_dropped") == 0) | has_word).withColumn("text", F.col("line_text"))
+    text, n_lines, n_dropped = results = fresh(columns, "line_text", "n_lines", "n_dropped")
+    out = _dedup(docs, least, results)
+    has_word = F.col(text).rlike(r"[^\x20\x09-\x0D]")
+    out = out.filter((F.col(n_dropped) == 0) | has_word).withColumn("text", F.col(text))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(n_dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*columns)
