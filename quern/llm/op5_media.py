@@ -31,6 +31,8 @@ from quern.llm.common import chunks, materialize, release, scratch_path, table,
 WIDTH = 576
 FILL = b"\xff"
 HEADER = 33
+#: Payload bytes that one task reads back, about.
+TASK_BYTES = 16 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -135,6 +137,13 @@ def _ranges(shards: list[str], offsets: list[int], lengths: list[int]):
         yield file.read_at(n, o)
 
 
+def by_bytes(manifest: DataFrame, column: str = "length", bytes_a_task: int = TASK_BYTES) -> DataFrame:
+    """The manifest in the order of the store, in as many tasks as its payloads' bytes need: a
+    row is short, what it stands for is not."""
+    total = manifest.agg(F.sum(column)).first()[0] or 0
+    return manifest.repartitionByRange(max(1, -(-total // bytes_a_task)), "shard", "offset").sortWithinPartitions("shard", "offset")
+
+
 def read_headers(manifest: DataFrame) -> DataFrame:
     """The manifest with width, height, bit_depth and channels, from HEADER bytes an entry."""
 
@@ -174,12 +183,13 @@ def media_table(docs: DataFrame, store: str) -> tuple[DataFrame, DataFrame]:
     """What each row of docs has (doc_id, n_bytes, payload_bytes, digest), and for each digest
     where it is stored (shard, offset, length) and its metadata columns.
 
-    Null text is empty; equal texts share one entry, the first shard's that holds it; a doc_id
-    may be null or repeated; further columns are ignored; no rows give no rows."""
+    Null text is empty; equal texts share one entry, the least (shard, offset) of those that
+    hold it; a very long text is one payload like any other, held in one task's memory; a
+    doc_id may be null or repeated; further columns are ignored; no rows give no rows."""
     stored = materialize(write_shards(docs, store), "media-stored")
     _drop_unreported(docs, store, stored)
     manifest = stored.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("m")).select("digest", "m.shard", "m.offset", "m.length")
-    headed = materialize(read_headers(manifest.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")), "media-headers")
+    headed = materialize(read_headers(manifest.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")), "media-headers")  # a few bytes an entry
     return stored.select("doc_id", "n_bytes", "payload_bytes", "digest"), headed
 
 
@@ -202,6 +212,6 @@ def _drop_unreported(docs: DataFrame, store: str, wrote: DataFrame) -> None:
 def op5_media(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     known, headed = media_table(docs, scratch_path(spark, "media"))
-    full = read_payloads(headed)
+    full = read_payloads(by_bytes(headed))
     rows = known.join(full, "digest")
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bit_depth", "channels")
