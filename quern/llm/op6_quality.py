@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks, table, texts
+from quern.llm.common import chunks, fresh, table, texts
 
 BUCKETS = 4096
 SHAPES = 96
@@ -24,6 +24,8 @@ AXES = 64
 PER_CLASS = 1536
 NEIGHBOURS = 15
 THRESHOLD = 0.7
+#: Documents that are compared with all labelled vectors at once.
+BLOCK = 1024
 
 
 def _bin(share: float) -> int:
@@ -88,6 +90,9 @@ class Neighbours:
         near = self._unit((self._unit(x.astype(np.float32) * self.idf)) @ self.axes) @ self.points.T
         k = min(k, near.shape[1])
         at = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        edge = np.take_along_axis(near, at, 1).min(1, keepdims=True)
+        if tied := np.flatnonzero((near >= edge).sum(1) > k).tolist():
+            at[tied] = np.argsort(-near[tied], axis=1, kind="stable")[:, :k]
         w = np.clip(np.take_along_axis(near, at, 1), 0, 1) ** 4 * self.weight[at] + 1e-9
         return np.clip((w * self.y[at]).sum(1) / w.sum(1), 0, 1)
 
@@ -103,7 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Neigh
     chosen = picked[0] if len(picked) == 1 else picked[0].unionByName(picked[1])
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class rows
     label = chosen.withColumnRenamed("doc_id", "of")
-    rows = _term_rows(sample).join(F.broadcast(label), F.col("doc_id") == F.col("of")).select("doc_id", "terms", "label").dropDuplicates(["doc_id"]).collect()
+    rows = _term_rows(sample).join(F.broadcast(label), F.col("doc_id") == F.col("of"))
+    # of a repeated doc_id's texts the one with the least terms counts, so that reruns agree
+    rows = rows.groupBy("doc_id").agg(F.min("terms").alias("terms"), F.min("label").alias("label")).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: r["doc_id"])
@@ -112,20 +119,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Neigh
     return Neighbours(np.stack([np.frombuffer(r["terms"], np.uint8) for r in rows]), y, stand)
 
 
-def scored(docs: DataFrame, model: Neighbours | None, columns: list[str]) -> DataFrame:
-    """docs' ``columns`` and ``score``. Without a model every score is 0.5."""
+def scored(docs: DataFrame, model: Neighbours | None, columns: list[str], name: str = "quality_score") -> DataFrame:
+    """docs' ``columns`` and the score as ``name``. Without a model every score is 0.5."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     held = docs.sparkSession.sparkContext.broadcast(model)
+    (text,) = fresh([*columns, name], "quality_text")
 
     def run(batches):
-        for b in chunks(batches, "quality_text", 2 << 20):
-            rows = [terms(t) for t in texts(b, "quality_text")]
+        for b in chunks(batches, text, 2 << 20, BLOCK):
+            rows = [terms(t) for t in texts(b, text)]
             scores = held.value.score(np.stack(rows)) if held.value is not None else np.full(len(rows), 0.5)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), pa.array(scores.astype(np.float64))], names=[*columns, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), pa.array(scores.astype(np.float64))], names=[*columns, name])
 
-    schema = StructType([*(docs.schema[c] for c in columns), StructField("quality_score", DoubleType())])
-    return docs.select(*columns, F.col("text").alias("quality_text")).mapInArrow(run, schema)
+    schema = StructType([*(docs.schema[c] for c in columns), StructField(name, DoubleType())])
+    return docs.select(*columns, F.col("text").alias(text)).mapInArrow(run, schema)
 
 
 def held_out(column: str = "doc_id"):
@@ -135,8 +143,11 @@ def held_out(column: str = "doc_id"):
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs (doc_id, text).
 
-    labels: doc_id, quality. Null and empty texts are scored by their shape terms alone.
-    Repeated rows are each scored; further columns are ignored; no rows give no rows.
+    labels: doc_id, quality. Null and empty texts are scored by their shape terms alone; of a
+    very long text all trigrams count. Where neighbours tie, the first labelled ones in
+    doc_id's order vote. Repeated rows are each scored, alike; of a labelled doc_id with
+    several texts one, always the same, is learned from. Further columns are ignored; no rows
+    give no rows.
     """
     model = fit(docs, labels.filter(~held_out()).select("doc_id", F.col("quality").alias("label")))
     out = scored(docs, model, ["doc_id"])
@@ -150,4 +161,5 @@ def op6_quality(spark, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score THRESHOLD or more, with docs' columns."""
     model = fit(docs, labels.filter(~held_out()).select("doc_id", F.col("quality").alias("label")))
-    return scored(docs, model, docs.columns).filter(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    (score,) = fresh(docs.columns, "quality_score")
+    return scored(docs, model, docs.columns, score).filter(F.col(score) >= THRESHOLD).select(*docs.columns)
