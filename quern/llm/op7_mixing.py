@@ -11,8 +11,10 @@ into blocks by document hash, so a source with most of the rows is many equal bl
 only undecided documents travel to later levels.
 
 ``documents`` rows are sized by words; a null text has none. Ties and repeated rows are drawn
-each on its own. Null sources form one source, after all others. Draws depend on doc_id and
-source alone, so reruns and other partitionings agree.
+each on its own. Null sources form one source, after all others. Draws depend on doc_id, text
+and source alone, so reruns and other partitionings agree: rows that tie in size, id and text
+are the same row. An empty text has size 0 and is taken like others; of a very long one all
+words count. Extra columns of any name come back as they are; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, release, table
+from quern.llm.common import fresh, materialize, release, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -70,14 +72,30 @@ def sized(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns, F.col("text").alias("mix_text")).mapInArrow(run, schema)
 
 
+def _ranked(per: DataFrame) -> DataFrame:
+    """per with ``rank`` from 0 by source (null last): places in the tasks of a range sort, and
+    one count a task."""
+    spark = per.sparkSession
+    placed = materialize(per.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "mix-ranks")
+    part = F.shiftright("at", 33)
+    offsets, before = [], 0
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row a task
+        offsets.append((r["part"], before))
+        before += r["count"]
+    known = spark.createDataFrame(offsets, "part long, before long")
+    ranked = placed.withColumn("part", part).join(F.broadcast(known), "part")
+    return ranked.withColumn("rank", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at", "part", "before")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """source, source_size, n, target: shares by weight, none above ``most`` times its size.
 
     Works on one row per source; each pass of the refill is one aggregate over those rows."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    per = _ranked(per)
+    rank = F.col("rank")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
-    per = materialize(per.withColumn("weight", weight).withColumn("most", F.lit(float(most)) * F.col("source_size")), "mix-sources")
+    per = materialize(per.withColumn("weight", weight).drop("rank").withColumn("most", F.lit(float(most)) * F.col("source_size")), "mix-sources")
     total = per.agg(F.sum("source_size")).first()[0] or 0
     level = None
     while True:  # ends when a pass caps no further source
@@ -180,8 +198,9 @@ def cube(docs: DataFrame, copies_of: list[str], level_blocks: list[int]) -> Data
 def draw(docs: DataFrame, columns: list[str], weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """One row per document: ``columns`` (with doc_id and source), size, source_size, target,
     copies, taken."""
-    h = F.xxhash64(F.col("doc_id"), F.lit("mix"))
-    sizes = materialize(sized(docs, columns).withColumnRenamed("mix_words", "size").withColumn("h", h), "mix-sizes")
+    # by id and text: rows without an id, or with the same one, spread over blocks too
+    hashed = docs.withColumn("h", F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("mix")))
+    sizes = materialize(sized(hashed, [*columns, "h"]).withColumnRenamed("mix_words", "size"), "mix-sizes")
     targets = materialize(source_targets(sizes.select("source", "size"), weights, share, most).withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")), "mix-targets")
     t = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumnRenamed("source", "t_source")
     joined = sizes.join(t, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source", "n")
@@ -204,9 +223,9 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """docs' rows, each as often as the mix takes it (none, once, ...), with docs' columns."""
-    marked = docs.withColumn("mix_row", F.monotonically_increasing_id())
-    marked = materialize(marked, "mix-rows")
-    plan = draw(marked.select("doc_id", "source", "mix_row", "text"), ["doc_id", "source", "mix_row"], weights, share, most)
-    plan = plan.filter("copies > 0").select("mix_row", "copies")
-    again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return marked.join(plan, "mix_row").withColumn("mix_copy", again).select(*docs.columns)
+    row, copies, copy = fresh(docs.columns, "mix_row", "mix_copies", "mix_copy")
+    marked = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    plan = draw(marked.select("doc_id", "source", F.col(row).alias("mix_row"), "text"), ["doc_id", "source", "mix_row"], weights, share, most)
+    plan = plan.filter("copies > 0").select(F.col("mix_row").alias(row), F.col("copies").alias(copies))
+    again = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))
+    return marked.join(plan, row).withColumn(copy, again).select(*docs.columns)

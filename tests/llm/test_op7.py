@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quern.llm.op7_mixing import draw, flight, land, mix, op7_mixing, word_counts
+from quern.llm.op7_mixing import _ranked, draw, flight, land, mix, op7_mixing, word_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -59,6 +59,21 @@ def test_odd_rows(spark, odd, empty):
     assert mix(odd).columns == odd.columns and mix(empty).count() == 0
 
 
+def test_rows_without_an_id_spread_over_blocks(spark):
+    rows = [(None, "s", f"word {i}") for i in range(400)] + [(5, "s", f"other {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    hashes = df.selectExpr("doc_id", "pmod(xxhash64(doc_id, text, 'mix'), 8) as block").distinct().groupBy("doc_id").count().collect()
+    assert [r["count"] for r in hashes] == [8, 8]
+    assert draw(df, ["doc_id", "source"]).count() == 800
+
+
+def test_sources_rank_by_code_point(spark):
+    names = ["b", "a", "é", None, "Z", "😀", "\uffee"]
+    per = spark.createDataFrame([(n, 1) for n in names], "source string, source_size long")
+    want = sorted((n for n in names if n is not None), key=lambda n: [ord(c) for c in n]) + [None]
+    assert [r.source for r in _ranked(per).orderBy("rank").collect()] == want
+
+
 def test_mix_repeats_rows(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), "en", f"s{i % 3}", 1) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
     plan = {r.doc_id: r.copies for r in draw(docs.select("doc_id", "source", "text"), ["doc_id", "source"]).collect()}
