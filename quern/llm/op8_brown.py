@@ -1,15 +1,19 @@
 """Language-model scoring with a Brown class bigram model.
 
-p(w | v) = p(class(w) | class(v)) * p(w | class(w)). Words with at least 2**-16 of all
-training tokens (at most 65,536 words, whatever the corpus) are dealt into classes by
-exchange: round after round each word moves to the class that most raises the likelihood of
-the class bigrams, given the classes of its neighbours; half the words move in a round, so
-that two neighbours don't chase each other. All other words share one class, whose emission
-is each word's own smoothed count; the end token is a class of its own.
+p(w | v) = p(class(w) | class(v)) * p(w | class(w)). Words with at least 2**-22 of all
+training tokens (at most 4,194,304 of them, whatever the corpus) and LEAST occurrences are
+dealt into classes by exchange: round after round each word moves to the class that has most pull on it, the sum
+over its neighbours of the log association of their classes with that class, held fixed
+within a round; half the words move in a round, so that two neighbours don't chase each
+other. This is a first-order form of the exchange step: a word's own share in the class
+counts is not taken out before it moves. Rounds go on until the mutual information of
+neighbouring classes gains less than a tolerance; the classes of the best round count.
+Rarer words share one class, whose emission is each word's own smoothed count; the end token
+is a class of its own.
 
 Counts cover all training documents and stay in tables: bigrams of the clustered words are one
-table, the vocabulary another. Tasks hold the counts of words with at least 2**-20 of the
-tokens (at most 1,048,576 of them); rarer words of a document are joined to the vocabulary.
+table, the vocabulary another. Tasks hold the counts of the clustered words; rarer words of a
+document are joined to the vocabulary.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import chunks, hashed_words, materialize, release, table, texts
 
-CLUSTERED = 2.0**-16
-HELD = 2.0**-20
+CLUSTERED = 2.0**-22
+#: Words with fewer occurrences have too little evidence for a class.
+LEAST = 8
 CLASSES = 64
-ROUNDS = 6
+#: Exchange ends when a pair of rounds gains less than this mutual information (nats).
+TOLERANCE = 2e-3
 #: Stands for the end of a text among word hashes.
 END = np.uint64(0x9D39247E33776D41)
 
@@ -118,7 +124,7 @@ def class_matrix(pairs: DataFrame, classes, k: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m.ravel()[at])], names=["at", "c"])
 
     m = np.zeros(k * k)
-    for r in pairs.mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).coalesce(1).collect():
+    for r in pairs.mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).collect():
         m[r["at"]] = r["c"]
     return m.reshape(k, k)
 
@@ -130,23 +136,41 @@ def association(m: np.ndarray) -> np.ndarray:
     return np.log((m + 0.5 * expected / max(expected.mean(), 1e-9) + 1e-3) / (expected + 0.5 * expected / max(expected.mean(), 1e-9) + 1e-3))
 
 
-def exchange(pairs: DataFrame, n: int, k: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """Class of words 0..n-1 (by exchange), of the end (k) and of all others (k + 1).
+def information(m: np.ndarray) -> float:
+    """Mutual information of neighbouring classes, from their bigram counts."""
+    p = m / max(m.sum(), 1)
+    at = p > 0
+    return float((p[at] * np.log(p[at] / np.outer(p.sum(1), p.sum(0))[at])).sum())
+
+
+def exchange(pairs: DataFrame, n: int, k: int = CLASSES, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Class of words 0..n-1 (by exchange), of the end (k) and of all others (k + 1), and the
+    counts of their bigrams.
 
     pairs: v, w, c. Rows meet by word once; then each round reads them twice without a
     shuffle of words: class bigrams are counted, and the best class of each word comes back."""
     spark = pairs.sparkSession
     classes = np.concatenate([np.arange(n) % k, [k, k + 1]]).astype(np.int32)
     if n <= 1:
-        return classes
+        return classes, class_matrix(pairs, spark.sparkContext.broadcast(classes), k + 2)
     left = pairs.filter(F.col("w") < n).select("w", F.col("v").alias("other"), F.col("c").alias("before"), F.lit(0).cast("long").alias("after"))
     right = pairs.filter(F.col("v") < n).select(F.col("v").alias("w"), F.col("w").alias("other"), F.lit(0).cast("long").alias("before"), F.col("c").alias("after"))
     # A word has at most n + 2 words before it and as many after it.
     around = left.unionByName(right).groupBy("w").agg(F.collect_list("other").alias("other"), F.collect_list("before").alias("before"), F.collect_list("after").alias("after"))
     around = materialize(around, "contexts")
-    for turn in range(rounds):
+    turn, best_so_far, last = 0, (float("-inf"), classes, None), float("-inf")
+    while True:
         now = spark.sparkContext.broadcast(classes)
-        pull = spark.sparkContext.broadcast(association(class_matrix(pairs, now, k + 2)))
+        m = class_matrix(pairs, now, k + 2)
+        gained = information(m)
+        if gained > best_so_far[0]:
+            best_so_far = (gained, classes, m)
+        if turn % 2 == 0:  # each word has had its turn
+            if gained < last + tolerance:
+                release(around)
+                return best_so_far[1:]
+            last = gained
+        pull = spark.sparkContext.broadcast(association(m))
 
         def best(batches, now=now, pull=pull):
             for b in batches:
@@ -163,22 +187,19 @@ def exchange(pairs: DataFrame, n: int, k: int = CLASSES, rounds: int = ROUNDS) -
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cl)], names=["w", "cl"])
 
         new = classes.copy()
-        for r in around.mapInArrow(best, "w int, cl int").toLocalIterator():
-            if (r["w"] * 2654435761 >> 7) % 2 == turn % 2:
-                new[r["w"]] = r["cl"]
+        moved = around.mapInArrow(best, "w int, cl int").toArrow()  # two numbers a clustered word
+        w, cl = moved.column("w").to_numpy(), moved.column("cl").to_numpy()
+        mine = (w.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(2) == turn % 2
+        new[w[mine]] = cl[mine]
         now.unpersist()
         pull.unpersist()
-        if turn > 1 and np.array_equal(new, classes):
-            break
-        classes = new
-    release(around)
-    return classes
+        classes, turn = new, turn + 1
 
 
 class Model:
     """What tasks need to score: log probabilities of classes, and of words in classes."""
 
-    def __init__(self, heads: Heads, classes: np.ndarray, m: np.ndarray, n: int, v: int, n_end: int):
+    def __init__(self, heads: Heads, classes: np.ndarray, m: np.ndarray, n: int, v: int):
         k = len(m)
         self.heads, self.n, self.v = heads, n, v
         self.classes = classes[heads.index]
@@ -220,29 +241,33 @@ def _partial_scores(docs: DataFrame, model) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, PARTIAL)
 
 
-def score(docs: DataFrame, held, *, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
+def fit(train: DataFrame, classes: int = CLASSES, tolerance: float = TOLERANCE) -> tuple[DataFrame, Model]:
+    """The vocabulary (h, c) of the training texts, and the model."""
+    spark = train.sparkSession
+    vocabulary = materialize(_counted(train), "vocabulary")
+    n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    got = vocabulary.filter(F.col("c") >= n * CLUSTERED).toPandas()  # at most 1 / CLUSTERED rows
+    heads = Heads(got["h"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy(np.int64), max(LEAST, n * CLUSTERED))
+    pairs = materialize(_bigrams(train, spark.sparkContext.broadcast(heads)), "bigrams")
+    found, m = exchange(pairs, heads.n, classes, tolerance)
+    release(pairs)
+    return vocabulary, Model(heads, found, m, n, v)
+
+
+def score(docs: DataFrame, held, *, classes: int = CLASSES, tolerance: float = TOLERANCE) -> DataFrame:
     """Base and model log10 probability of every row of docs (doc_id, text).
 
     held: the column that says which documents are kept from training. A null or empty text
-    is its end token alone. Repeated rows each count and are each scored; further columns are
-    ignored; no rows give no rows; without training rows every token is unknown.
+    is its end token alone; all tokens of a very long one are scored. Where classes tie in pull
+    the first wins, so reruns agree. Repeated rows each count and are each scored; further
+    columns are ignored; no rows give no rows; without training rows every token is unknown.
     """
     spark = docs.sparkSession
     marked = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text")
-    train = marked.filter(~F.col("held_out"))
-    vocabulary = materialize(_counted(train), "vocabulary")
-    n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = vocabulary.filter(F.col("c") >= n * HELD)  # at most 1 / HELD rows
-    got = frequent.toPandas()
-    heads = Heads(got["h"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy(np.int64), n * CLUSTERED)
-    shared = spark.sparkContext.broadcast(heads)
-    pairs = materialize(_bigrams(train, shared), "bigrams")
-    found = exchange(pairs, heads.n, classes, rounds)
-    m = class_matrix(pairs, spark.sparkContext.broadcast(found), classes + 2)
-    model = Model(heads, found, m, n, v, 0)
-    release(pairs)
+    vocabulary, model = fit(marked.filter(~F.col("held_out")), classes, tolerance)
+    n, v = model.n, model.v
     parts = materialize(_partial_scores(marked, spark.sparkContext.broadcast(model)).withColumn("row", F.monotonically_increasing_id()), "partial-scores")
-    rare = vocabulary.filter(F.col("c") < n * HELD)
+    rare = vocabulary.filter(F.col("c") < n * CLUSTERED)
     tail = parts.select("row", F.explode("tail").alias("t")).select("row", "t.h", "t.m").join(rare, "h", "left")
     c, times = F.coalesce("c", F.lit(0)), F.col("m")
     sums = tail.groupBy("row").agg(
