@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from quern.llm.op10_rules import fit, judge, op10_rules
+from quern.llm.op10_rules import LONGS, STOP, fit, judge, measures, op10_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -60,3 +60,36 @@ def test_accuracies_are_found():
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
     acc, prior, _ = fit(patterns, counts)
     assert abs(prior - 0.7) < 0.03 and np.all(abs(acc.mean(1) - true) < 0.04)
+
+
+def test_list_marks_count_without_symbols():
+    at = LONGS.index("n_marks")
+    assert measures(b"- one\n- two\n- three")[at] == 3 and measures(b"- one\n- two\n- three $")[at] == 3
+    assert measures(b"| a * b-c")[at] == 2
+
+
+def test_measures_by_brute_force(spark, sf):
+    """The six further measures, by plain loops over characters and lines."""
+    space = " \t\n\r\x0b\x0c"
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text = r.text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x.strip(space) for x in text.split("\n") if x.strip(space)]
+        upper = sum(any("A" <= c <= "Z" for c in w) and not any("a" <= c <= "z" for c in w) for w in words)
+        want = (len(lines), sum(x[-1] in '.!?":;' for x in lines), upper, sum(w.encode() in STOP for w in words), sum(w in "|-*" for w in words), sum(a == b for a, b in zip(words, words[1:], strict=False)))
+        assert measures(text.encode())[5:] == want, r.doc_id
+
+
+def test_posterior_by_brute_force():
+    """The posterior from accuracies and prior by Bayes' rule, pattern by pattern."""
+    rng = np.random.default_rng(4)
+    votes = rng.integers(0, 3, (40, 4))
+    acc, prior, post = fit(votes, rng.integers(1, 50, 40), 2000)
+    for v, p in zip(votes, post, strict=True):
+        good, bad = prior, 1 - prior
+        for i, x in enumerate(v):
+            if x == 1:
+                good, bad = good * acc[i, 0], bad * (1 - acc[i, 1])
+            elif x == 2:
+                good, bad = good * (1 - acc[i, 0]), bad * acc[i, 1]
+        assert abs(good / (good + bad) - p) < 1e-5
