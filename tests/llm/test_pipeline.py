@@ -1,6 +1,7 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -40,4 +41,24 @@ def test_odd_rows(spark, sf):
     for docs in (odd, odd.limit(0)):
         for _, stage in P.STAGES:
             docs = stage(spark, docs, sf)
-        assert docs.count() >= 0
+        assert docs.columns[0] == "doc_id" and docs.count() <= 4
+
+
+def test_each_stage_on_odd_rows(spark, sf, odd, empty):
+    """Nulls, a very long text, repeated rows, unlike texts of one id, and clashing columns."""
+    more = odd.filter("doc_id = 8").withColumn("text", F.lit("another text of the same id"))
+    docs = odd.unionByName(more).unionByName(odd.filter("doc_id is null"))
+    rows = docs.collect()
+    of = {name: P.materialize(stage(spark, docs, sf), "odd") for name, stage in P.STAGES}
+    assert all(of[n].columns == docs.columns for n in list(of)[:-1])
+    key = lambda r: (r.doc_id is None, r.doc_id, r.text or "")
+    assert {tuple(r) for r in of["quality"].collect()} <= {tuple(r) for r in rows}
+    order = sorted(range(len(rows)), key=lambda i: (rows[i].doc_id is None, rows[i].doc_id or 0))
+    assert of["line_dedup"].count() <= len(order) and {r.doc_id for r in of["line_dedup"].collect()} >= {1, 2, 3, 4, 7, 8}
+    near = sorted(map(key, of["near_copies"].collect()))
+    assert near == sorted({key(r) for r in rows})  # no two unlike texts are near, and one of equal rows stays
+    copies = Counter(map(key, of["mixing"].collect()))
+    assert set(copies) <= set(map(key, rows)) and of["mixing"].select("copies", "drop").distinct().count() == 1
+    tok = Tokenizer.from_file(default_tokenizer())
+    assert sum(r.length for r in of["packing"].collect()) == sum(len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in rows)
+    assert all(stage(spark, empty, sf).count() == 0 for _, stage in P.STAGES)
