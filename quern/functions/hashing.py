@@ -15,7 +15,10 @@ def fold_hash(hex_id: Column) -> Column:
 
 def unit_interval(h: Column) -> Column:
     """A 64-bit pattern, read as unsigned, over 2**64 - 1."""
-    return F.conv(F.hex(h), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(18446744073709551615.0)
+    # half of a large value, its last bit kept for rounding, is a positive long
+    half = F.shiftrightunsigned(h, 1).bitwiseOR(h.bitwiseAND(F.lit(1).cast("bigint")))
+    value = F.when(h >= 0, h.cast("double")).otherwise(half.cast("double") * 2)
+    return value / F.lit(18446744073709551615.0)
 
 
 def xxhash_seed0(text: Column) -> Column:

@@ -3,11 +3,26 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+@lru_cache(maxsize=4096)
+def _valid(expression: str) -> bool:
+    """Whether the engine that will run it, the JVM's, accepts the expression."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("patterns are compiled by the session's JVM")
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(expression)
+    except IllegalArgumentException:  # what PySpark makes of a syntax error
+        return False
+    return True
+
+
 def wildcard(value: Column, pattern: str) -> Column:
     """True where value is pattern, with ``*`` for any run of characters but newlines.
 
@@ -21,9 +36,7 @@ def wildcard(value: Column, pattern: str) -> Column:
         body = pattern[:-1]
         return value.startswith(body) & ~F.substring(value, len(body) + 1, 2**31 - 1).contains("\n")
     expression = "(?d)\\A" + pattern.replace("*", ".*") + "\\z"
-    try:
-        re.compile(pattern.replace("*", ".*"))
-    except re.error:
+    if not _valid(expression):
         return value == F.lit(pattern)
     return (value == F.lit(pattern)) | value.rlike(expression)
 

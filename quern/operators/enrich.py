@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,58 @@ def enrich(rows: DataFrame, config: EnrichConfig, *, cmdline: DataFrame | None =
     return out.drop("_pid")
 
 
+#: The lookup that supplies each attribute, and its column here.
+SUPPLIES = {
+    "process.command_line": ("command_line", "cmdline"),
+    "process.owner": ("owner", "owner"),
+    "process.executable.path": ("executable_path", "exe_path"),
+    "process.executable.name": ("executable_path", "exe_name"),
+    "process.disk.io.read_bytes": ("io", "read_bytes"),
+    "process.disk.io.write_bytes": ("io", "write_bytes"),
+}
+
+
+def any_missing(config: EnrichConfig) -> Column:
+    """Whether a row lacks one of the attributes that an enabled lookup supplies."""
+    wanted = [column for lookup, column in SUPPLIES.values() if lookup in config.fetch]
+    return F.greatest(F.lit(False), F.lit(False), *[F.col(c).isNull() for c in wanted])
+
+
+def enrich_any(rows: DataFrame, config: EnrichConfig, **lookups: DataFrame) -> DataFrame:
+    """enrich for processes that lack any attribute an enabled lookup supplies (others go by as
+    they are), with ``warned``: whether a critical one is absent even then."""
+    marked = rows.withColumn("enrich_needed", any_missing(config) & F.col("pid").isNotNull())
+    done = enrich(marked.filter("enrich_needed"), config, **lookups)
+    out = done.unionByName(marked.filter("not enrich_needed")).drop("enrich_needed")
+    absent = [F.col(SUPPLIES[a][1]).isNull() for a in config.critical]
+    return out.withColumn("warned", F.greatest(F.lit(False), F.lit(False), *absent) & F.col("pid").isNotNull())
+
+
+def enrich_critical(rows: DataFrame, config: EnrichConfig, **lookups: DataFrame) -> DataFrame:
+    """enrich with the lookups alone that supply a critical attribute, io among them, and only
+    for processes in whose set of absent attributes one of those is."""
+    absent = missing({a: F.col(SUPPLIES[a][1]) for a in config.critical})
+    fetch = tuple({SUPPLIES[a][0] for a in config.critical} & set(config.fetch))
+    marked = rows.withColumn("enrich_needed", (F.size(absent) > 0) & F.col("pid").isNotNull())
+    done = enrich(marked.filter("enrich_needed"), replace(config, fetch=fetch), **lookups)
+    return done.unionByName(marked.filter("not enrich_needed")).drop("enrich_needed")
+
+
+def expires(loaded_at: Column, kind: Column, config: EnrichConfig) -> Column:
+    """When a cache entry of this kind of attribute ends: owners and paths have TTLs of their own."""
+    seconds = F.when(kind == "owner", config.owner_ttl_seconds).when(kind == "executable_path", config.path_ttl_seconds).otherwise(config.ttl_seconds)
+    return loaded_at + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
+def gates(rows: DataFrame, config: EnrichConfig, critical: dict[str, Column], pid: str = "pid", **lookups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The gate after enrichment, and (stage, dropped, warned) of the one before and the one
+    after: in strict mode two or more absent attributes drop a process, else they warn."""
+    short = F.col(pid).isNotNull() & (F.size(missing(critical)) >= 2)
+    done = enrich(rows, config, **lookups)
+    counts = [df.agg(F.lit(stage).alias("stage"), F.count_if(short & config.strict).alias("dropped"), F.count_if(short & (not config.strict)).alias("warned")) for stage, df in (("before", rows), ("after", done))]
+    return done.filter(~short) if config.strict else done, counts[0].unionByName(counts[1])
+
+
 def owner_name(uid: Column, username: Column) -> Column:
     return F.coalesce(F.nullif(username, F.lit("")), F.concat(F.lit("uid:"), uid))
 

@@ -49,6 +49,15 @@ def judge_logs(logs: DataFrame, config: HeadConfig, p: float | None = None, ids:
     return out.withColumn("action", F.col("found.action")).withColumn("kept", F.coalesce(keep, F.lit(False))).drop("found")
 
 
+def effective(config: HeadConfig, registry=None) -> float:
+    """The probability in force: the registry's for the config's tunable, clamped, else its own."""
+    if registry is not None:
+        p, known = registry.get_value(config.tunable_id, "probability")
+        if known:
+            return config.clamp(p)
+    return config.probability
+
+
 def sample_logs(logs: DataFrame, config: HeadConfig, p: float | None = None) -> DataFrame:
     if (config.probability if p is None else p) >= 1 and not config.filters:
         return logs

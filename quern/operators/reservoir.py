@@ -1,7 +1,8 @@
 """Uniform k-of-n samples per window.
 
 The k rows with the smallest keyed hash of a window are a uniform k-subset, the same on every
-run and mergeable: each task keeps its k best before anything is shuffled.
+run and mergeable: of every window each of SHARDS parts keeps its k best, and only those meet.
+So a window with most of the rows is many tasks, whatever k.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SHARDS = 32
+
+
 def keyed(ident, seed: str):
     return F.md5(F.concat(ident, F.lit(seed)))
 
@@ -18,8 +22,10 @@ def reservoir(rows: DataFrame, k: int, window: str, ident: str, ts: str = "ts",
     """Up to k rows of every window of event time, as they are."""
     w = F.window(F.col(ts), window)["start"]
     ranked = rows.withColumn("window_start", w).withColumn("draw", keyed(F.col(ident), seed))
-    place = F.row_number().over(Window.partitionBy("window_start").orderBy("draw", ident))
-    return ranked.withColumn("place", place).filter(F.col("place") <= k).drop("draw", "place")
+    ranked = ranked.withColumn("shard", F.pmod(F.xxhash64("draw"), F.lit(SHARDS)))
+    best = lambda *by: F.row_number().over(Window.partitionBy("window_start", *by).orderBy("draw", ident))
+    some = ranked.withColumn("place", best("shard")).filter(F.col("place") <= k)
+    return some.withColumn("place", best()).filter(F.col("place") <= k).drop("draw", "place", "shard")
 
 
 def trace_reservoir(spans: DataFrame, k: int, window: str, seed: str = "reservoir") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -42,10 +45,19 @@ def histogram_quantile(values: DataFrame, q: float, bounds: list[float], *by: st
     return counts.select(*by, out.alias("quantile"))
 
 
-def cumulative(points: DataFrame, *by: str) -> DataFrame:
-    """Counter datapoints hold deltas; their running sum."""
-    w = Window.partitionBy(*by).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return points.withColumn("total", F.sum("value").over(w))
+def cumulative(points: DataFrame, *by: str, then: tuple[str, ...] = ()) -> DataFrame:
+    """Counter datapoints hold deltas; their running sum by ts, then by ``then``.
+
+    Sums run within a day; the sums of earlier days, a row a day, come on top. So a busy
+    counter is as many tasks as it has days."""
+    day = points.withColumn("cumulative_day", F.to_date("ts"))
+    keys = [*by, "cumulative_day"]
+    days = day.groupBy(*keys).agg(F.sum("value").alias("cumulative_of_day"))
+    earlier = Window.partitionBy(*by).orderBy("cumulative_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("cumulative_before", F.coalesce(F.sum("cumulative_of_day").over(earlier), F.lit(0))).drop("cumulative_of_day")
+    inside = Window.partitionBy(*keys).orderBy("ts", *then).rowsBetween(Window.unboundedPreceding, 0)
+    out = day.withColumn("cumulative_in_day", F.sum("value").over(inside)).join(days, keys)
+    return out.withColumn("total", F.col("cumulative_before") + F.col("cumulative_in_day")).select(*points.columns, "total")
 
 
 def benchmark_summary(rows: DataFrame, by: str) -> DataFrame:
@@ -65,6 +77,20 @@ CATALOGUE = {
     "quern.enrich.cache_hit_ratio": ("gauge", "1", "lookups answered by the cache"),
     "quern.enrich.duration": ("histogram", "ms", "time of lookups"),
     "quern.controller.utilization": ("gauge", "1", "smoothed queue utilization"),
+    "quern.head.throughput": ("gauge", "{record}/s", "records a second"),
+    "quern.reservoir.kept": ("gauge", "{trace}", "traces held for the window"),
+    "quern.reservoir.evicted": ("counter", "{span}", "full spans let go"),
+    "quern.reservoir.lost_spans": ("counter", "{span}", "kept keys without a full span"),
+    "quern.reservoir.checkpoint_age": ("gauge", "s", "time since the last checkpoint"),
+    "quern.topn.kept": ("gauge", "{process}", "processes kept"),
+    "quern.topn.filtered": ("counter", "{record}", "records of other processes"),
+    "quern.topn.evicted": ("counter", "{process}", "idle processes let go"),
+    "quern.topn.cache_hits": ("counter", "1", "top-N results used again"),
+    "quern.enrich.missing": ("counter", "{attribute}", "attributes that were absent"),
+    "quern.enrich.errors": ("counter", "1", "failed lookups"),
+    "quern.enrich.breaker_open": ("counter", "1", "lookups not tried"),
+    "quern.controller.ewma": ("gauge", "1", "moving average in force"),
+    "quern.controller.drops": ("counter", "1", "aggressive cuts"),
 }
 SCHEMA = "ts timestamp, name string, kind string, unit string, value double, labels map<string,string>"
 
@@ -76,12 +102,58 @@ class _Definition:
     description: str
 
 
+class Reporter:
+    """Datapoints on their way out: at most ``capacity`` wait, more are dropped and counted; a
+    batch goes when ``batch`` wait or ``every`` seconds have passed since the last one. After
+    ``errors`` failures in a row nothing goes for ``cooldown`` seconds; the next success closes
+    the breaker."""
+
+    def __init__(self, send: Callable[[list], None], *, capacity: int = 1000, batch: int = 10, every: float = 0.1, errors: int = 5, cooldown: float = 30.0, clock: Callable[[], float] = time.monotonic):
+        self.send, self.capacity, self.batch, self.every, self.errors, self.cooldown, self.clock = send, capacity, batch, every, errors, cooldown, clock
+        self.waiting: deque = deque()
+        self.sent = self.dropped = self.failed = 0
+        self._last, self._until = clock(), float("-inf")
+
+    @property
+    def is_open(self) -> bool:
+        return self.clock() < self._until
+
+    def put(self, point) -> bool:
+        if len(self.waiting) >= self.capacity:
+            self.dropped += 1
+            return False
+        self.waiting.append(point)
+        if len(self.waiting) >= self.batch or self.clock() - self._last >= self.every:
+            self.flush()
+        return True
+
+    def flush(self) -> bool:
+        """Sends what waits, but for an open breaker. A failed batch waits on."""
+        if not self.waiting or self.is_open:
+            return False
+        self._last = self.clock()
+        batch = list(self.waiting)
+        try:
+            self.send(batch)
+        except Exception:
+            self.failed += 1
+            if self.failed >= self.errors:
+                self._until = self.clock() + self.cooldown
+            return False
+        for _ in batch:
+            self.waiting.popleft()
+        self.sent, self.failed = self.sent + len(batch), 0
+        return True
+
+
 class MetricRegistry:
-    """Definitions by name and an append-only list of datapoints on the driver."""
+    """Definitions by name and datapoints on the driver, the last ``most`` of them; a reporter
+    gets each one too."""
 
-    def __init__(self, breaker_errors: int = 5):
+    def __init__(self, reporter: Reporter | None = None, most: int = 100_000):
+        self.reporter = reporter
         self._known: dict[str, _Definition] = {k: _Definition(*v) for k, v in CATALOGUE.items()}
-        self._points: list[tuple] = []
+        self._points: deque[tuple] = deque(maxlen=most)
         self.unknown = 0
 
     def define(self, name: str, kind: str, unit: str = "1", description: str = "") -> None:
@@ -93,7 +165,13 @@ class MetricRegistry:
             self.unknown += 1
             return False
         self._points.append((ts or datetime.now(UTC), name, d.kind, d.unit, float(value), labels or {}))
+        if self.reporter is not None:
+            self.reporter.put(self._points[-1])
         return True
 
     def snapshot(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self._points, SCHEMA)
+        return spark.createDataFrame(list(self._points), SCHEMA)
+
+    def catalogue(self, spark: SparkSession) -> DataFrame:
+        rows = [(name, d.kind, d.unit, d.description) for name, d in self._known.items()]
+        return spark.createDataFrame(rows, "name string, kind string, unit string, description string")

@@ -19,11 +19,16 @@ def top_union(states: DataFrame, n: int) -> DataFrame:
 
 
 def keep_top(rows: DataFrame, states: DataFrame, config: TopNConfig) -> DataFrame:
-    """rows of the top pids, and all rows without a pid. At most 2n pids are broadcast."""
+    """rows of the top pids, and all rows without a pid, in one scan. At most 2n pids are broadcast."""
+    return judge_top(rows, states, config).filter("top_kept").select(*rows.columns)
+
+
+def judge_top(rows: DataFrame, states: DataFrame, config: TopNConfig) -> DataFrame:
+    """rows with ``top_kept``: whether they are of a top pid, or of none."""
     if config.max_scanned:
         states = states.orderBy("pid").limit(config.max_scanned)
-    chosen = F.broadcast(top_union(states.filter("pid is not null"), config.n))
-    return rows.filter("pid is null").unionByName(rows.join(chosen, "pid", "left_semi").select(*rows.columns))
+    chosen = top_union(states.filter("pid is not null"), config.n).withColumn("top_kept", F.lit(True))
+    return rows.join(F.broadcast(chosen), "pid", "left").withColumn("top_kept", F.col("pid").isNull() | F.coalesce("top_kept", F.lit(False)))
 
 
 def latest_state(points: DataFrame) -> DataFrame:
@@ -49,3 +54,21 @@ def evict_idle(states: DataFrame, now, ttl: str) -> DataFrame:
     micros = int(parse_duration(ttl).total_seconds() * 1e6)
     idle = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("last_above").cast("timestamp"))
     return states.filter(F.coalesce(idle <= micros, F.lit(False)))
+
+
+class TopCache:
+    """The last top pids, used again until the states' version or n changes."""
+
+    def __init__(self):
+        self.hits = self.misses = 0
+        self._key, self._held = None, None
+
+    def get(self, states: DataFrame, n: int, version) -> DataFrame:
+        if self._key == (version, n):
+            self.hits += 1
+            return self._held
+        self.misses += 1
+        if self._held is not None:
+            self._held.unpersist()
+        self._key, self._held = (version, n), top_union(states, n).persist()
+        return self._held

@@ -10,9 +10,24 @@ def is_root() -> Column:
     return F.coalesce(F.col("parent_span_id"), F.lit("")) == ""
 
 
-def assemble(spans: DataFrame) -> DataFrame:
-    """One row a trace: n_spans, has_root, first and last ts. Aggregates alone travel."""
-    return spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_spans"), F.bool_or(is_root()).alias("has_root"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+def assemble(spans: DataFrame, held: tuple[str, ...] = ()) -> DataFrame:
+    """One row a trace: n_spans, has_root, first and last ts. Aggregates alone travel, unless
+    ``held`` names columns of spans to list, in order, as ``spans``."""
+    listed = [F.array_sort(F.collect_list(F.struct(*held))).alias("spans")] if held else []
+    return spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_spans"), F.bool_or(is_root()).alias("has_root"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), *listed)
+
+
+def status(traces: DataFrame, now: Column, timeout: str) -> DataFrame:
+    """Adds ``status``: complete with a root, in-flight while the last span is no older than
+    ``timeout`` at ``now``, timed-out after that."""
+    open_ = F.col("last_ts") + F.expr(f"interval {timeout}") >= now
+    return traces.withColumn("status", F.when(F.col("has_root"), "complete").when(open_, "in-flight").otherwise("timed-out"))
+
+
+def evictions(spans: DataFrame, capacity: int, window: str) -> DataFrame:
+    """What a store of full spans with this capacity has to let go in each window."""
+    out = spans.groupBy(F.window("ts", window)["start"].alias("window_start")).agg(F.countDistinct("trace_id", "span_id").alias("held"))
+    return out.withColumn("evicted", F.greatest(F.col("held") - F.lit(capacity), F.lit(0)))
 
 
 def sessions(spans: DataFrame, timeout: str) -> DataFrame:

@@ -44,25 +44,59 @@ def _fold(h: str) -> str:
     return f"xor(('0x' || substr({h}, 1, 16))::UBIGINT, ('0x' || substr({h}, 17, 16))::UBIGINT)"
 
 
-def _unit(h: str) -> str:
-    return f"({_fold(h)}::DOUBLE / 18446744073709551615.0)"
+def _over(h: str) -> str:
+    return f"({h}::DOUBLE / 18446744073709551615.0)"
 
 
-EVENTS = "event_id, ts, user_id, event_type, value, event_type || ' user ' || user_id AS body, 'svc-' || (user_id % 5) AS svc, CAST(user_id % 7 AS VARCHAR) AS bucket, md5(CAST(event_id AS VARCHAR)) AS h FROM events"
+def _unit(h: str) -> str:
+    return _over(_fold(h))
+
+
+def xxhash_sql(rows: str, text: str) -> str:
+    """rows with ``acc``: the 64-bit xxHash, seed 0, of an ASCII text of at most 31 bytes, or its
+    folded bytes where there are 16 of them. A step a subquery, all modulo 2**64."""
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    full = "18446744073709551616::UHUGEINT"
+    times = lambda a, b: f"(({a})::UHUGEINT * ({b})::UHUGEINT % {full})::UBIGINT"
+    plus = lambda a, b: f"((({a})::UHUGEINT + ({b})::UHUGEINT) % {full})::UBIGINT"
+    turn = lambda x, r: f"((({x})::UHUGEINT * {2**r}::UHUGEINT) % {full} + (({x}) >> {64 - r})::UHUGEINT)::UBIGINT"
+    lane = lambda at, n: "('0x' || " + " || ".join(f"substr(hx, ({at} + {i}) * 2 + 1, 2)" for i in reversed(range(n))) + ")::UBIGINT"
+    sql = f"SELECT *, hex({text}) AS hx, length({text}) AS n, {plus(f'length({text})', p5)} AS acc FROM ({rows})"
+
+    def step(when: str, mixed: str, *then: str) -> str:
+        out = f"SELECT * REPLACE (CASE WHEN {when} THEN xor(acc, {mixed}) ELSE acc END AS acc) FROM ({sql})"
+        for t in then:
+            out = f"SELECT * REPLACE (CASE WHEN {when} THEN {t} ELSE acc END AS acc) FROM ({out})"
+        return out
+
+    for i in range(3):
+        first = times(lane(8 * i, 8), p2)
+        sql = f"SELECT *, CASE WHEN n >= {8 * i + 8} THEN {first} ELSE 0 END AS k{i} FROM ({sql})"
+        sql = step(f"n >= {8 * i + 8}", times(turn(f"k{i}", 31), p1), turn("acc", 27), plus(times("acc", p1), p4))
+    sql = step("n % 8 >= 4", times(lane("(n - n % 8)", 4), p1), turn("acc", 23), plus(times("acc", p2), p3))
+    for j in range(3):
+        sql = step(f"n % 4 > {j}", times(lane(f"(n - n % 4 + {j})", 1), p5), turn("acc", 11), times("acc", p1))
+    for shift, prime in ((33, p2), (29, p3), (32, 1)):
+        sql = step("true", f"acc >> {shift}", times("acc", prime))
+    return f"SELECT * REPLACE (CASE WHEN n = 16 THEN {_fold('hx')} ELSE acc END AS acc) FROM ({sql})"
+
+
+EVENTS = "event_id, ts, user_id, event_type, value, event_type || ' user ' || user_id AS body, 'svc-' || (user_id % 5) AS svc, CAST(user_id % 7 AS VARCHAR) AS bucket, hex(substr(md5(CAST(event_id AS VARCHAR)), 1, 16)) AS h FROM events"
 CRITICAL = "CASE WHEN regexp_matches(body, '^error user 1.*$') THEN 2 WHEN event_type = 'purchase' THEN 1 END"
 ACTION = "CASE WHEN svc = 'svc-0' THEN 'exclude' WHEN bucket = '3' THEN 'include' WHEN regexp_matches(body, '^view.*$') THEN 'weighted' END"
-KEPT = f"CASE WHEN {CRITICAL} IS NOT NULL THEN true WHEN {ACTION} = 'include' THEN true WHEN {ACTION} = 'exclude' THEN false WHEN {ACTION} = 'weighted' THEN {_unit('h')} < 0.25 ELSE {_unit('h')} < 0.5 END"
 
 
-def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logs judged with the event's MD5 as 16-byte record id, so that SQL can follow."""
-    logs = model.event_logs(spark, sf_dir).withColumn("h", F.md5(F.col("event_id").cast("string")))
-    judged = head.judge_logs(logs, HeadConfig(probability=1.0, record_fields=LOGS.record_fields, critical=LOGS.critical, filters=LOGS.filters), ids=F.col("h"))
-    from quern.functions.hashing import fold_hash
+def _kept(unit: str) -> str:
+    return f"CASE WHEN {CRITICAL} IS NOT NULL THEN true WHEN {ACTION} = 'include' THEN true WHEN {ACTION} = 'exclude' THEN false WHEN {ACTION} = 'weighted' THEN {unit} < 0.25 ELSE {unit} < 0.5 END"
+
+
+KEPT = _kept(_unit("h"))
 
-    u = unit_interval(fold_hash(F.col("h")))
-    kept = F.when(F.col("critical_level").isNotNull(), True).when(F.col("action") == "include", True).when(F.col("action") == "exclude", False).when(F.col("action") == "weighted", u < 0.25).otherwise(u < LOGS.probability)
-    return judged.withColumn("kept", kept)
+
+def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs judged under 16 characters of the event's MD5 as record id."""
+    ids = F.substring(F.md5(F.col("event_id").cast("string")), 1, 16)
+    return head.judge_logs(model.event_logs(spark, sf_dir), LOGS, ids=ids)
 
 
 @query(f"SELECT md5(CAST(conv_id AS VARCHAR)) AS trace_id, turn, role AS name FROM conversations WHERE {_unit('md5(CAST(conv_id AS VARCHAR))')} < 0.25")
@@ -94,12 +128,15 @@ def log_record_id(spark, sf_dir):
     return model.event_logs(spark, sf_dir).select("event_id", record_id(equal, resolve, none).alias("equal_id"), record_id(weighted, resolve, none).alias("weighted_id"))
 
 
-@query()
+BODIES = "SELECT event_id, event_type, user_id, value, event_type || ' user ' || user_id AS body, 'svc-' || (user_id % 5) AS svc, CAST(user_id % 7 AS VARCHAR) AS bucket FROM events"
+
+
+@query(f"SELECT event_id, (CASE WHEN acc >= 9223372036854775808 THEN acc::HUGEINT - 18446744073709551616 ELSE acc::HUGEINT END)::BIGINT AS h FROM ({xxhash_sql(BODIES, 'body')})")
 def log_record_hash_xx(spark, sf_dir):
     return model.event_logs(spark, sf_dir).select("event_id", record_hash(F.col("body")).alias("h"))
 
 
-@query()
+@query(f"SELECT event_id, body FROM ({xxhash_sql(BODIES, chr(40) + 'event_type || ' + chr(39) + ':' + chr(39) + ' || body' + chr(41))}) WHERE {_kept(_over('acc'))}")
 def log_sample_by_record(spark, sf_dir):
     return head.sample_logs(model.event_logs(spark, sf_dir), LOGS).select("event_id", "body")
 
@@ -160,9 +197,11 @@ def complete_vs_timeout(spark, sf_dir):
     return s.agg(F.count_if("has_root").alias("complete"), F.count_if(~F.col("has_root")).alias("timed_out"))
 
 
-@query("SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_spans FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL)")
+@query("SELECT md5(CAST(conv_id AS VARCHAR)) AS trace_id, role AS scope, 'service-' || (conv_id % 3) AS service_name, count(*) AS n_spans FROM conversations GROUP BY ALL")
 def regroup_by_resource(spark, sf_dir):
-    return traces.regroup(model.conversation_spans(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n_spans").alias("n_spans"))
+    out = traces.regroup(model.conversation_spans(spark, sf_dir))
+    service = F.regexp_extract("resource_key", r'"key":"service.name","value":"([^"]*)"', 1)
+    return out.select("trace_id", F.col("scope.name").alias("scope"), service.alias("service_name"), "n_spans")
 
 
 @query("""WITH t AS (SELECT md5(CAST(l_orderkey AS VARCHAR)) AS trace_id, min(l_shipdate) AS ts FROM lineitem GROUP BY 1),
@@ -453,10 +492,10 @@ def bench_summary(spark, sf_dir):
     return out.withColumn("mean", F.round("mean", 6)).withColumn("middle", F.round("middle", 6))
 
 
-@query("SELECT event_type, event_id, CAST(sum(floor(value)) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM events")
+@query("SELECT event_type, event_id, CAST(sum(floor(value)) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM events")
 def cumulative_counter(spark, sf_dir):
     e = model._table(spark, sf_dir, "events").withColumn("value", F.floor("value"))
-    return telemetry.cumulative(e, "event_type").select("event_type", "event_id", F.col("total").cast("long").alias("total"))
+    return telemetry.cumulative(e, "event_type", then=("event_id",)).select("event_type", "event_id", F.col("total").cast("long").alias("total"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,8 +505,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
+    from quern.plans import catalog_more  # noqa: F401  (it registers its own)
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from quern.plans import catalog_more  # noqa: F401
+
     return dict(_sql)

@@ -26,6 +26,24 @@ def queue_samples(lines: DataFrame, ts: Column, size_name: str = "exporter_queue
     return got.groupBy("exporter").agg(pick(size_name).alias("queue_size"), pick(capacity_name).alias("queue_capacity")).filter("queue_size is not null or queue_capacity is not null").withColumn("ts", ts)
 
 
+def queue_totals(lines: DataFrame, exporters: tuple[str, ...], size_name: str = "exporter_queue_size", capacity_name: str = "exporter_queue_capacity") -> DataFrame:
+    """(queue_size, queue_capacity) summed over the named exporters, as one row. Where the
+    parsed capacities sum to 0, lines are searched by an expression instead: it also finds
+    samples inside lines that are no valid exposition."""
+    parsed = queue_samples(lines, F.lit(None), size_name, capacity_name).filter(F.col("exporter").isin(*exporters))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    one = parsed.agg(total("queue_size").alias("s"), total("queue_capacity").alias("c"))
+    sample = r'(\w*%s)\{exporter="([^"]*)"\} (\d+)'
+    found = []
+    for name in (size_name, capacity_name):
+        hits = F.explode(F.regexp_extract_all("value", F.lit("(" + sample.replace("%s", name) + ")"), 1)).alias("hit")
+        hits = lines.select(hits).select(F.regexp_extract("hit", r'exporter="([^"]*)"', 1).alias("exporter"), F.regexp_extract("hit", r"(\d+)$", 1).cast("double").alias("v"))
+        found.append(hits.filter(F.col("exporter").isin(*exporters)).agg(total("v").alias("v")))
+    both = found[0].select(F.lit(1).alias("k"), F.col("v").alias("fs")).join(found[1].select(F.lit(1).alias("k"), F.col("v").alias("fc")), "k").join(one.withColumn("k", F.lit(1)), "k")  # three rows of one
+    use = F.col("c") != 0
+    return both.select(F.when(use, F.col("s")).otherwise(F.col("fs")).alias("queue_size"), F.when(use, F.col("c")).otherwise(F.col("fc")).alias("queue_capacity"))
+
+
 def read_exposition(spark: SparkSession, path: str) -> DataFrame:
     return exposition(spark.read.text(path))
 
