@@ -18,7 +18,8 @@ symmetric differences, in integers.
 4. Index-level skipping: within a list only members outside its largest group look for
    partners of other groups, and only in the list's blocks of matching size and position:
    blocks whose sizes or positions alone put their sets too far apart are never joined, and
-   entries carry a small parity sketch of their sets.
+   entries carry a small parity sketch of their sets. First those members ask one of
+   the largest group, so that copies with two hubs become a cluster, which doesn't meet itself.
 5. Answer-level skipping: within a group, |x delta y| = |(x delta hub) delta (y delta hub)|.
    So x and y link only if their answers share an element, or if both link with the hub:
    |x delta hub| + |y delta hub| <= (s + t) * (q - p) / (q + p), with ||y| - |hub|| at most
@@ -423,7 +424,9 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, heavy: int, bits: int) ->
     answers = materialize(answers, "answers")
     release(weights, compared)
 
-    links, cluster = _within_groups(answers, answers.filter("linked").select("a", "b"), p, q)
+    links, _ = _within_groups(answers, answers.filter("linked").select("a", "b"), p, q)
+    # A cluster is a component of the links so far.
+    cluster = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("component", "cluster")
     group = answers.select(F.col("a").alias("node"), F.col("b").alias("group"))
     folds = classes.select("node", "f0", "f1")
     marked = live.drop("count").join(folds, "node").join(cluster, "node", "left").join(group, "node", "left")
@@ -433,6 +436,22 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, heavy: int, bits: int) ->
     sizes = marked.groupBy("token", "group").count()
     main = sizes.groupBy("token").agg(F.max_by("group", F.struct("count", "group")).alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     probes = materialize(marked.join(main, "token").filter("group <> main"), "probes")
+    limit = F.floor((F.col("size") + F.col("size2")) * F.lit(q - p) / F.lit(q + p))
+    fits = (F.col("group") != F.col("group2")) & (F.col("cluster") != F.col("cluster2")) & (F.col("pos") + F.col("pos2") <= limit) & (F.abs(F.col("size") - F.col("size2")) <= limit) & (_apart(["f0", "f1"]) <= limit)
+    # Those outside a list's largest group ask one member of that group first: where a group of
+    # copies has two hubs, its parts then are of one cluster, and don't meet in pairs.
+    ones = marked.select("token", *(F.col(c).alias(c + "2") for c in ("node", "size", "pos", "cluster", "group", "f0", "f1")))
+    second = marked.select("token", "node", "group").join(main, "token").filter(F.col("group") == F.col("main")).groupBy("token").agg(F.min_by("node", F.xxhash64("node")).alias("node2"))
+    asked = probes.join(second, "token").join(ones, ["token", "node2"]).filter(fits)
+    asked = asked.groupBy("node", "node2", "cluster2").count().groupBy("node").agg(F.max_by(F.struct("node2", "cluster2"), F.struct("count", "node2")).alias("m"))
+    asked = materialize(asked.select(F.col("node").alias("a"), F.col("m.node2").alias("b"), F.col("m.cluster2").alias("c")), "second-pairs")
+    near = materialize(_near(asked.select("a", "b"), nodes, linkable), "second-near")
+    more = near.join(_compare(near.select("a", "b"), docs, classes, k), ["a", "b"]).filter(linked).select("a", "b")
+    more = materialize(more.join(asked, ["a", "b"]), "second-links")
+    moved = more.select(F.col("a").alias("node"), F.col("c").alias("second"))
+    links = links.unionByName(more.select("a", "b"))
+    newly = lambda rows: rows.join(moved, "node", "left").withColumn("cluster", F.coalesce("second", "cluster")).drop("second")
+    probes, marked = newly(probes), newly(marked)
     width = float(np.log(q / p)) if p < q else 1.0
     block = F.floor(F.log("size") / F.lit(max(width, 1e-6))).cast("int")
     # Two places add up to no more than linked sets may differ in, so one is in a first half:
@@ -441,14 +460,11 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, heavy: int, bits: int) ->
     # Linked sizes differ by a factor of q/p at most: the same block or the next on either side.
     left = probes.withColumn("block", F.explode(F.array(block - 1, block, block + 1))).withColumn("late", F.explode(F.when(late == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     right = marked.withColumn("block", block).select("token", "block", late.alias("late"), F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("pos").alias("pos2"), F.col("cluster").alias("cluster2"), F.col("group").alias("group2"), F.col("f0").alias("f02"), F.col("f1").alias("f12"))
-    limit = F.floor((F.col("size") + F.col("size2")) * F.lit(q - p) / F.lit(q + p))
-    fits = (F.col("group") != F.col("group2")) & (F.col("cluster") != F.col("cluster2")) & (F.col("pos") + F.col("pos2") <= limit) & (F.abs(F.col("size") - F.col("size2")) <= limit) & (_apart(["f0", "f1"]) <= limit)
     fits &= (F.col("group2") == F.col("main")) | (F.col("node") < F.col("node2"))
     pairs = left.join(right, ["token", "block", "late"]).filter(fits)
     pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-    release(probes, marked)
     rest = materialize(_near(pairs, nodes, linkable), "near-pairs")
     full = rest.join(_compare(rest.select("a", "b"), docs, classes, k), ["a", "b"]).filter(linked).select("a", "b")
     links = materialize(links.unionByName(full), "all-links")
