@@ -183,8 +183,9 @@ def _power(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
-def hashed_words(text: bytes) -> np.ndarray:
-    """64-bit hash of every word of text, A-Z lower-cased first.
+def hashed_words(text: bytes, places: bool = False):
+    """64-bit hash of every word of text, A-Z lower-cased first; with ``places`` also where
+    each word starts and ends.
 
     A word's hash is the sum of its bytes times powers of an odd base, modulo 2**64, from
     differences of running sums; its length is mixed in."""
@@ -204,7 +205,7 @@ def hashed_words(text: bytes) -> np.ndarray:
         np.cumsum(part.astype(np.uint64) * _power(_BASE, n)[: len(part)], out=sums[1:])
         out[i:j] = mix((sums[e] - sums[s]) * _power(_INVERSE, n)[s] + (e - s).astype(np.uint64))
         i = j
-    return out
+    return (out, starts, ends) if places else out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -23,10 +23,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks, fresh, materialize, mix, packed, release, texts, unpacked, word_hashes
+from quern.llm.common import chunks, fresh, hashed_words, materialize, mix, packed, release, texts, unpacked
 from quern.llm.common import table as read_table
 
 LEAST = 8
@@ -46,7 +47,7 @@ class Sums:
 
     up, down = _powers(BASE, 1 << 12), _powers(_INVERSE, 1 << 12)
 
-    def __init__(self, words: np.ndarray, sizes: list[int] | None = None):
+    def __init__(self, words: np.ndarray, sizes=None):
         self.n = np.array([len(words)] if sizes is None else sizes, np.int64)
         most = int(self.n.max(initial=0))
         if most >= len(Sums.up):
@@ -86,6 +87,15 @@ class Sums:
         return np.stack(out, 1)
 
 
+def _hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word. Long words can be made to agree in a sum of powers modulo
+    2**64, so theirs is another hash."""
+    h, starts, ends = hashed_words(text, places=True)
+    for i in np.flatnonzero(ends - starts > 64).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[starts[i] : ends[i]].lower())
+    return h, starts
+
+
 LINES = "doc_id long, th long, line int, h long, h2 long, n int, halves array<long>"
 
 
@@ -95,20 +105,20 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
 
     def run(batches):
         for b in chunks(batches, limit=2 << 20):
-            words, sizes, lines, rows = [], [], [], []
-            for k, t in enumerate(texts(b)):
-                for i, line in enumerate(t.lower().split(b"\n")):
-                    if found := line.split():
-                        words += found
-                        sizes.append(len(found))
-                        lines.append(i)
-                        rows.append(k)
-            s = Sums(word_hashes(words), sizes)
+            held = texts(b)
+            joined = b"\n".join(held)
+            words, starts = _hashed(joined)
+            breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+            of, sizes = np.unique(np.searchsorted(breaks, starts), return_counts=True)  # lines with words
+            begin = np.cumsum([0, *(t.count(b"\n") + 1 for t in held)])
+            rows = np.searchsorted(begin, of, "right") - 1
+            lines = of - begin[rows]
+            s = Sums(words, sizes)
             long = s.n >= least
             ends = np.concatenate([[0], np.cumsum(long * 4)]).astype(np.int32)
             halves = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.halves()[long].ravel()))
             ids = b.select(["doc_id", "th"]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(lines, pa.int32()), pa.array(s.whole()), pa.array(s.second()), pa.array(s.n.astype(np.int32)), halves], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(lines.astype(np.int32)), pa.array(s.whole()), pa.array(s.second()), pa.array(s.n.astype(np.int32)), halves], schema=schema)
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, LINES)
 
@@ -134,8 +144,8 @@ def _variants(words: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in chunks(batches, "words", 256 << 10):
-            lines = [w.split() for w in b.column(1).to_pylist()]
-            s = Sums(word_hashes([w for line in lines for w in line]), [len(line) for line in lines])
+            lines = b.column(1).to_pylist()
+            s = Sums(_hashed(b" ".join(lines))[0], [line.count(b" ") + 1 for line in lines])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), s.n)), pa.array(s.deletions()), pa.array(s.place.astype(np.int32))], names=["r", "key", "place"])
 
     return words.select("r", "words").mapInArrow(run, "r long, key long, place int")

@@ -79,3 +79,42 @@ def test_sums():
     whole, less = (Sums(x).halves()[0].tolist() for x in (w, np.delete(w, 4)))
     assert whole[2:] != whole[:2]
     assert set(whole) & set(less)
+
+
+def test_words_of_lines_are_hashed_at_once():
+    """As the same lines word by word, for under half of what that costs."""
+    import time
+
+    import pyarrow as pa
+
+    from quern.llm.common import word_hashes
+    from quern.llm.op4_lines import Sums, _hashed, _lines
+
+    class Docs:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run([self.batch]))
+
+    rng = np.random.default_rng(0)
+    held = [" ".join(f"w{x}" + "\n" * (x % 9 == 0) for x in rng.integers(0, 60000, 400).tolist()) for _ in range(1500)] + [None, "", "\n\n \n", "\nA b\n a\tB\n"]
+    docs = Docs()
+    docs.batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(held))), "th": [0] * len(held), "text": held})
+    took = time.process_time()
+    got = pa.Table.from_batches(_lines(docs, 8)).to_pylist()
+    took = time.process_time() - took
+    plain = time.process_time()
+    want = [(k, i, found) for k, t in enumerate(held) for i, line in enumerate((t or "").encode().lower().split(b"\n")) if (found := line.split())]
+    Sums(word_hashes([w for _, _, words in want for w in words]), [len(words) for _, _, words in want]).whole()
+    plain = time.process_time() - plain
+    assert [(r["doc_id"], r["line"], r["n"]) for r in got] == [(k, i, len(words)) for k, i, words in want]
+    same = {}
+    for r, (_, _, words) in zip(got, want, strict=True):
+        assert same.setdefault(tuple(words), (r["h"], r["h2"])) == (r["h"], r["h2"])
+    assert len(set(same.values())) == len(same)
+    assert took < plain / 2 + 0.2
+    # two long words whose sums of powers agree modulo 2**64
+    a = bytes(97 + bin(i).count("1") % 2 for i in range(4096))
+    h, starts = _hashed(a + b" " + a.translate(bytes.maketrans(b"ab", b"ba")) + b" " + a.upper())
+    assert h[0] != h[1] and h[0] == h[2] and starts.tolist() == [0, 4097, 8194]
