@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,10 +124,7 @@ def class_matrix(pairs: DataFrame, classes, k: int) -> np.ndarray:
         at = np.flatnonzero(m)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m.ravel()[at])], names=["at", "c"])
 
-    m = np.zeros(k * k)
-    for r in pairs.mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).collect():
-        m[r["at"]] = r["c"]
-    return m.reshape(k, k)
+    return _gathered(pairs.mapInArrow(run, "at long, c long"), k)
 
 
 def association(m: np.ndarray) -> np.ndarray:
@@ -153,15 +151,11 @@ def exchange(pairs: DataFrame, n: int, k: int = CLASSES, tolerance: float = TOLE
     classes = np.concatenate([np.arange(n) % k, [k, k + 1]]).astype(np.int32)
     if n <= 1:
         return classes, class_matrix(pairs, spark.sparkContext.broadcast(classes), k + 2)
-    left = pairs.filter(F.col("w") < n).select("w", F.col("v").alias("other"), F.col("c").alias("before"), F.lit(0).cast("long").alias("after"))
-    right = pairs.filter(F.col("v") < n).select(F.col("v").alias("w"), F.col("w").alias("other"), F.lit(0).cast("long").alias("before"), F.col("c").alias("after"))
-    # A word has at most n + 2 words before it and as many after it.
-    around = left.unionByName(right).groupBy("w").agg(F.collect_list("other").alias("other"), F.collect_list("before").alias("before"), F.collect_list("after").alias("after"))
-    around = materialize(around, "contexts")
+    around = materialize(_contexts(pairs), "contexts")
     turn, best_so_far, last = 0, (float("-inf"), classes, None), float("-inf")
     while True:
         now = spark.sparkContext.broadcast(classes)
-        m = class_matrix(pairs, now, k + 2)
+        m = _matrix(around, now, k + 2)
         gained = information(m)
         if gained > best_so_far[0]:
             best_so_far = (gained, classes, m)
@@ -174,20 +168,14 @@ def exchange(pairs: DataFrame, n: int, k: int = CLASSES, tolerance: float = TOLE
 
         def best(batches, now=now, pull=pull):
             for b in batches:
-                ends = b.column(1).offsets.to_numpy().astype(np.int64)
-                flat = [b.column(j).values.to_numpy() for j in (1, 2, 3)]
-                cl, i = np.empty(b.num_rows, np.int32), 0
-                while i < b.num_rows:  # slices of about a million neighbours
-                    j = max(i + 1, int(np.searchsorted(ends, ends[i] + 1_000_000, "right")) - 1)
-                    part, size = slice(ends[i], ends[j]), (j - i) * (k + 2)
-                    at = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1])) * (k + 2) + now.value[flat[0][part]]
-                    x, y = (np.bincount(at, f[part], size).reshape(j - i, k + 2) for f in flat[1:])
-                    cl[i:j] = (x @ pull.value + y @ pull.value.T)[:, :k].argmax(1)
-                    i = j
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cl)], names=["w", "cl"])
+                for part in _slices(b):
+                    size = part.num_rows * (k + 2)
+                    x, y = (np.bincount(row * (k + 2) + now.value[other], c, size).reshape(-1, k + 2) for row, other, c in (_side(part, 1), _side(part, 3)))
+                    cl = (x @ pull.value + y @ pull.value.T)[:, :k].argmax(1)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cl.astype(np.int32))], names=["w", "cl"])
 
         new = classes.copy()
-        moved = around.mapInArrow(best, "w int, cl int").toArrow()  # two numbers a clustered word
+        moved = around.filter(F.col("w") < n).mapInArrow(best, "w int, cl int").toArrow()  # two numbers a clustered word
         w, cl = moved.column("w").to_numpy(), moved.column("cl").to_numpy()
         mine = (w.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(2) == turn % 2
         new[w[mine]] = cl[mine]
@@ -196,6 +184,66 @@ def exchange(pairs: DataFrame, n: int, k: int = CLASSES, tolerance: float = TOLE
         classes, turn = new, turn + 1
 
 
+def _contexts(pairs: DataFrame) -> DataFrame:
+    """For every word the words before it and those after it, with their counts, as bytes of
+    int32 and int64: rounds read them as they are, and Spark turns no number into an object."""
+    left = pairs.select("w", F.col("v").alias("o1"), F.col("c").alias("c1"), F.lit(None).cast("int").alias("o2"), F.lit(None).cast("long").alias("c2"))
+    right = pairs.select(F.col("v").alias("w"), F.lit(None).cast("int").alias("o1"), F.lit(None).cast("long").alias("c1"), F.col("w").alias("o2"), F.col("c").alias("c2"))
+    # A word has at most as many words before it as there are clustered ones and two, and so after it.
+    lists = left.unionByName(right).groupBy("w").agg(*(F.collect_list(c).alias(c) for c in ("o1", "c1", "o2", "c2")))
+
+    def run(batches):
+        for b in batches:
+            cut = []
+            for i, kind in ((1, np.int32), (2, np.int64), (3, np.int32), (4, np.int64)):
+                ends = b.column(i).offsets.to_numpy()
+                flat = b.column(i).values.to_numpy()
+                cut.append(pa.array([flat[x:y].astype(kind, copy=False).tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *cut], names=["w", "before", "n_before", "after", "n_after"])
+
+    return lists.mapInArrow(run, "w int, before binary, n_before binary, after binary, n_after binary")
+
+
+def _slices(b: pa.RecordBatch):
+    """Parts of contexts of about a million neighbours; a longer row is a part of its own."""
+    size = sum(pc.binary_length(b.column(i)).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(1, b.num_columns, 2))
+    ends, i = np.cumsum(size) // 4, 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 1_000_000, "right")))
+        yield b.slice(i, j - i)
+        i = j
+
+
+def _side(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, neighbour and count of everything in columns i and i + 1."""
+    others = b.column(i).to_pylist()
+    row = np.repeat(np.arange(len(others)), [len(x) >> 2 for x in others])
+    return row, np.frombuffer(b"".join(others), np.int32), np.frombuffer(b"".join(b.column(i + 1).to_pylist()), np.int64)
+
+
+def _matrix(around: DataFrame, classes, k: int) -> np.ndarray:
+    """``class_matrix`` of the pairs in contexts."""
+
+    def run(batches):
+        m = np.zeros(k * k, np.int64)
+        for b in batches:
+            for part in _slices(b):
+                row, other, c = _side(part, 1)
+                v = classes.value[part.column(0).to_numpy()].astype(np.int64)
+                m += np.bincount(v[row] * k + classes.value[other], c, k * k).astype(np.int64)
+        at = np.flatnonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m[at])], names=["at", "c"])
+
+    return _gathered(around.select("w", "after", "n_after").mapInArrow(run, "at long, c long"), k)
+
+
+def _gathered(parts: DataFrame, k: int) -> np.ndarray:
+    m = np.zeros(k * k)
+    for r in parts.groupBy("at").agg(F.sum("c").alias("c")).collect():
+        m[r["at"]] = r["c"]
+    return m.reshape(k, k)
+
+
 class Model:
     """What tasks need to score: log probabilities of classes, and of words in classes."""
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm.common import hashed_words
-from quern.llm.op8_brown import END, association, class_matrix, exchange, fit, information, op8_brown, score
+from quern.llm.op8_brown import END, association, _contexts, _matrix, class_matrix, exchange, fit, information, op8_brown, score
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UP = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -103,3 +103,20 @@ def test_exchange_stops_at_its_best_round(spark):
     first = class_matrix(pairs, spark.sparkContext.broadcast(start), 6)
     assert information(m) >= information(first) and association(m).shape == (6, 6)
     assert (class_matrix(pairs, spark.sparkContext.broadcast(found), 6) == m).all()
+
+
+def test_rounds_read_contexts_as_bytes(spark):
+    """Rounds read a row a word, whose neighbours are bytes and not rows or lists."""
+    rng = np.random.default_rng(2)
+    rows = [(int(a), int(b), int(c)) for a, b, c in zip(rng.integers(0, 12, 300), rng.integers(0, 12, 300), rng.integers(1, 1 << 33, 300), strict=True)]
+    pairs = spark.createDataFrame(rows, "v int, w int, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
+    around = _contexts(pairs)
+    assert [f.dataType.simpleString() for f in around.schema] == ["int"] + ["binary"] * 4
+    want = {(r.v, r.w): r.c for r in pairs.collect()}
+    before, after = {}, {}
+    for r in around.collect():
+        before |= {(v, r.w): c for v, c in zip(np.frombuffer(r.before, np.int32).tolist(), np.frombuffer(r.n_before, np.int64).tolist(), strict=True)}
+        after |= {(r.w, w): c for w, c in zip(np.frombuffer(r.after, np.int32).tolist(), np.frombuffer(r.n_after, np.int64).tolist(), strict=True)}
+    assert before == after == want
+    classes = spark.sparkContext.broadcast(np.concatenate([np.arange(10) % 3, [3, 4]]).astype(np.int32))
+    assert (_matrix(around, classes, 5) == class_matrix(pairs, classes, 5)).all()
