@@ -7,8 +7,11 @@ six bytes, and ``bytes.lower()`` lower-cases A-Z alone.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -86,6 +89,22 @@ def _sweep() -> None:
         shutil.rmtree(_own["root"].removeprefix("file://"), ignore_errors=True)
 
 
+_trimmed = 0.0
+
+
+def trim() -> None:
+    """Give memory that this process no longer holds back to the system. Spark keeps its Python
+    workers for later stages, so what they have once taken counts for each of them. At most
+    once a second, as tasks may be short."""
+    global _trimmed
+    if time.monotonic() < _trimmed + 1:
+        return
+    _trimmed = time.monotonic()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fresh(columns, *names: str) -> list[str]:
     """The names, with what it takes to differ from all columns (whatever their case)."""
     taken = {c.lower() for c in columns}
@@ -115,6 +134,7 @@ def chunks(batches, column: str = "text", limit: int = 4 << 20, rows: int = 1 <<
             stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, base + limit, "right"))))
             yield batch.slice(start, stop - start)
             start = stop
+    trim()
 
 
 def texts(batch, column: str = "text") -> list[bytes]:

@@ -62,3 +62,15 @@ def test_each_stage_on_odd_rows(spark, sf, odd, empty):
     tok = Tokenizer.from_file(default_tokenizer())
     assert sum(r.length for r in of["packing"].collect()) == sum(len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in rows)
     assert all(stage(spark, empty, sf).count() == 0 for _, stage in P.STAGES)
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    """Workers serve all stages, so a task that has read its last slice frees what it can."""
+    import pyarrow as pa
+
+    from quern.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "trim", lambda: calls.append(1))
+    assert [c.num_rows for c in common.chunks([pa.RecordBatch.from_pydict({"text": ["ab", None, "c"]})], limit=2)] == [2, 1]
+    assert calls == [1]
