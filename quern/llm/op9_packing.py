@@ -15,13 +15,14 @@ table. A seed still finds neighbours in its own shard alone (README: measured re
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks, materialize, table, texts
+from quern.llm.common import chunks, materialize, mix, table, texts, trim
 
 WINDOW = 2048
 SHARD_DOCS = 512
@@ -29,45 +30,100 @@ END_ID = 1
 #: Rows of statistics that are no token id.
 COUNT, LENGTH = -1, -2
 
-CACHE_WORDS = 600_000
+#: Places of a task's table of short runs, and the most ids that one of them has there.
+PLACES, MOST_IDS = 1 << 20, 6
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+_GAPS = bytes(1 if b in (32, 9, 10, 11, 12, 13) else 0 for b in range(256))
+_ENDS = np.array([b in PUNCTUATION for b in range(256)])
+#: The character by which a byte-level tokenizer writes each byte.
+_BYTE_CHARS = np.arange(256, dtype="<u4")
+_BYTE_CHARS[[*range(33), *range(127, 161), 173]] = 256 + np.arange(68)
+_BYTE_CHARS[32] = 32  # between words
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
-class WordIds(dict):
-    """Word -> its ids as little-endian uint16, for a tokenizer that never joins across white
-    space. Remembers up to CACHE_WORDS words, and as many words without their final
-    punctuation, which this tokenizer cuts off as a run of its own."""
+class WordIds:
+    """Ids of words as little-endian uint16, for a tokenizer that never joins across white
+    space and cuts off a word's final punctuation as a run of its own.
+
+    A word without its final punctuation, and that punctuation, are looked up apart. Runs of
+    at most 16 bytes are known by their length and first and last 8 bytes, which are all of
+    them, so a table of fixed size finds the ids of many runs at once. Others and those that
+    are not in the table are encoded, words of letters many at a time."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tok = Tokenizer.from_file(path)
-        self.model = self.tok.model
-        self.stems: dict[bytes, bytes] = {}
-
-    def encode(self, word: bytes) -> bytes:
-        if word.isalpha() and word.isascii() and word.islower():  # nothing to normalize or cut
-            return np.array([t.id for t in self.model.tokenize(word.decode())], "<u2").tobytes()
-        return np.array(self.tok.encode(word.decode(), add_special_tokens=False).ids, "<u2").tobytes()
-
-    def stem(self, word: bytes) -> bytes:
-        got = self.stems.get(word)
-        if got is None:
-            if len(self.stems) >= CACHE_WORDS:
-                self.stems.clear()
-            got = self.stems[word] = self.encode(word)
-        return got
-
-    def __missing__(self, word: bytes) -> bytes:
-        end = word.rstrip(PUNCTUATION)
-        if end and len(end) < len(word) and b"<|" not in word:
-            got = self.stem(end) + self.stem(word[len(end) :])
-        else:
-            got = self.stem(word)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = got
-        return got
+        # the same model without what words of letters, lower-cased and as bytes, don't need
+        self.bare = Tokenizer(self.tok.model)
+        self.bare.pre_tokenizer = CharDelimiterSplit(" ")
+        self.table = np.zeros(PLACES, [("first", "<u8"), ("last", "<u8"), ("ids", "<u2", MOST_IDS), ("size", "<u2"), ("n", "<u2")])
+
+    def encode(self, word: str) -> bytes:
+        return array("H", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def encoded(self, runs: list[bytes]) -> list[bytes]:
+        """The ids of each run."""
+        words = [r.decode() for r in runs]
+        # one run to the tokenizer: letters that its normalizer maps one by one
+        plain = [i for i, w in enumerate(words) if w.isalpha() and max(w) < "\u0130"]
+        out = [b""] * len(words)
+        if plain:
+            text = " ".join([words[i] for i in plain]).lower()
+            if not text.isascii():
+                text = _BYTE_CHARS[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
+            got = self.bare.encode(text, add_special_tokens=False)
+            ids = array("H", got.ids).tobytes()
+            ends = (2 * np.cumsum(np.bincount(got.word_ids, minlength=len(plain)))).tolist()
+            for i, start, stop in zip(plain, [0, *ends], ends, strict=False):
+                out[i] = ids[start:stop]
+        for i in {*range(len(words))}.difference(plain):
+            out[i] = self.encode(words[i])
+        return out
+
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start of every run of text, its number of ids, and the ids in a row."""
+        gap = np.frombuffer(b"\1" + text.translate(_GAPS) + b"\1", np.uint8)
+        turns = np.flatnonzero(gap[1:] != gap[:-1])
+        starts, ends = turns[::2], turns[1::2]
+        raw, cut = np.frombuffer(text, np.uint8), ends.copy()
+        more = np.flatnonzero(_ENDS[raw[ends - 1]]) if len(ends) else ends
+        while len(more):
+            cut[more] -= 1
+            more = more[cut[more] > starts[more]]
+            more = more[_ENDS[raw[cut[more] - 1]]]
+        cut = cut[(cut > starts) & (cut < ends)]
+        starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+        text = bytes(8) + text + bytes(8)
+        eight = np.ndarray((len(text) - 7,), "<u8", text, 0, (1,)).copy()  # the 8 bytes from each place on
+        size = ends - starts
+        first = eight[starts + 8] & _LOW[np.minimum(size, 8)]
+        last = np.where(size > 8, eight[ends], np.uint64(0))
+        at = (mix(first + mix(last + size.astype(np.uint64))) & np.uint64(PLACES - 1)).astype(np.int64)
+        held = self.table.take(at)
+        known = (held["first"] == first) & (held["last"] == last) & (held["size"] == size)
+        n = held["n"].astype(np.int64)
+        new = np.flatnonzero(~known)
+        runs = [text[i:j] for i, j in zip((starts[new] + 8).tolist(), (ends[new] + 8).tolist(), strict=True)]
+        once = list(dict.fromkeys(runs))
+        found = dict(zip(once, self.encoded(once), strict=True))
+        codes = list(map(found.__getitem__, runs))
+        n[new] = np.fromiter(map(len, codes), np.int64, len(codes)) >> 1
+        flat = np.frombuffer(b"".join(codes), "<u2")
+        out = np.empty(int(n.sum()), "<u2")
+        old = np.repeat(known, n)
+        out[old] = held["ids"][known[:, None] & (np.arange(MOST_IDS) < n[:, None])]
+        out[~old] = flat
+        stop = np.cumsum(n[new])
+        fits = (size[new] <= 16) & (n[new] <= MOST_IDS)
+        place, one = np.unique(at[new[fits]], return_index=True)
+        new, begin = new[fits][one], (stop - n[new])[fits][one]
+        padded = np.append(flat, np.zeros(MOST_IDS, "<u2"))
+        for name, values in (("first", first[new]), ("last", last[new]), ("size", size[new]), ("n", n[new]), ("ids", padded[begin[:, None] + np.arange(MOST_IDS)])):
+            self.table[name][place] = values
+        return starts, n, out
 
 
 _words: dict[str, WordIds] = {}
@@ -79,10 +135,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_text(text: bytes, words: WordIds) -> bytes:
-    if b"<|" not in text:  # else a special token might appear that the text doesn't have
-        text = text.lower()
-    return b"".join(map(words.__getitem__, text.split()))
+def encode_texts(held: list[bytes], words: WordIds) -> list[bytes]:
+    """The ids of every text, as little-endian uint16."""
+    # a text with "<|" isn't lower-cased: a special token might appear that it doesn't have
+    special = {i: b"".join(words.encode(w.decode()) for w in t.split()) for i, t in enumerate(held) if b"<|" in t}
+    plain = [b"" if i in special else t.lower() for i, t in enumerate(held)]
+    starts, n, ids = words.of(b"\n".join(plain))
+    begin = np.cumsum([0, *(len(t) + 1 for t in plain)])
+    stop = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, begin)]
+    return [special[i] if i in special else ids[stop[i] : stop[i + 1]].tobytes() for i in range(len(held))]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -94,8 +155,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             _words[tokenizer] = WordIds(tokenizer)
         words = _words[tokenizer]
         end = np.array([end_id], "<u2").tobytes()
-        for b in chunks(batches, limit=2 << 20):
-            ids = [encode_text(t, words) for t in texts(b)]
+        for b in chunks(batches, limit=1 << 20):
+            ids = encode_texts(texts(b), words)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x + end for x in ids], pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, deal long, ids binary")
@@ -105,17 +166,20 @@ def statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     """Of all documents: how many hold each token id, their number, their mean length."""
 
     def run(batches):
-        df, seen, n, total = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool), 0, 0
+        if _words:  # all is tokenized: later stages get this worker without the tokenizer
+            _words.clear()
+            trim()
+        df, at, n, total = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0, 0
         for b in batches:
             for x in b.column(0).to_pylist():
                 x = np.frombuffer(x, "<u2")
-                seen[x] = True
-                df += seen
-                seen[x] = False
+                place = np.arange(len(x), dtype=np.int32)
+                at[x] = place  # of equal ids one place stays, whichever
+                df[x[at[x] == place]] += 1
                 n, total = n + 1, total + len(x)
-        at = np.flatnonzero(df)
-        what = np.concatenate([at, [COUNT, LENGTH]])
-        yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(np.concatenate([df[at], [n, total]]))], names=["what", "c"])
+        held = np.flatnonzero(df)
+        what = np.concatenate([held, [COUNT, LENGTH]])
+        yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(np.concatenate([df[held], [n, total]]))], names=["what", "c"])
 
     sums = tokens.select("ids").mapInArrow(run, "what long, c long").groupBy("what").agg(F.sum("c").alias("c"))
     got = {r["what"]: r["c"] for r in sums.collect()}  # as many rows as the vocabulary and two
@@ -238,6 +302,7 @@ def pack(docs: DataFrame, *, window: int = WINDOW, shard_docs: int = SHARD_DOCS,
                 crc = zlib.crc32(ids[d][at : at + size].astype("<u4").tobytes())
                 rows.append((doc_ids[d], at, size, crc, len(ids[d]), shard << 32 | s, offset))
                 offset += size
+        trim()
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
     return dealt.groupBy("shard").applyInArrow(run, PIECES)

@@ -2,9 +2,11 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from quern.llm.op9_packing import default_tokenizer, fill, op9_packing, pack
+import quern.llm.op9_packing as op9_module
+from quern.llm.op9_packing import WordIds, default_tokenizer, encode_texts, fill, op9_packing, pack, statistics
 
 
 def check(rows, docs):
@@ -63,3 +65,34 @@ def test_neighbours_come_first():
     whole = [seq for seq in fill(ids, 256) if sum(x[2] for x in seq) == 256]
     pure = sum(len({d % 2 for d, _, _ in seq}) == 1 for seq in whole)
     assert pure >= len(whole) - 2
+
+
+def test_many_texts_at_once():
+    """Ids as the tokenizer gives them, for words in and out of a table of fixed size."""
+    tok = Tokenizer.from_file(default_tokenizer())
+    rng = np.random.default_rng(0)
+    held = ["", " ", "a", "a\0", "a\0\0", "A<|endoftext|> x", "x" * 5000, "İstanbul K ǅ µ ª É", "abcdefgh abcdefghi abcdefghijklmnop abcdefghijklmnopq", "a.b.c!!! ... don't", "1234567890123456", "日本語 。"]
+    held += ["".join(rng.choice(list("ab\0 .!éÉ\nZ1"), rng.integers(1, 60))) for _ in range(500)]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in held]
+    words = WordIds(default_tokenizer())
+    for cut in (len(held), 5, 1):
+        assert [x for i in range(0, len(held), cut) for x in encode_texts([t.encode() for t in held[i : i + cut]], words)] == want
+
+
+def test_statistics_let_the_tokenizer_go(spark):
+    """Counts as by brute force; a worker that counts has tokenized and serves later stages."""
+    rng = np.random.default_rng(0)
+    ids = [rng.integers(0, 50, rng.integers(1, 90)).astype("<u2") for _ in range(40)]
+
+    class Tokens:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return spark.createDataFrame(pa.Table.from_batches(run([pa.RecordBatch.from_pydict({"ids": [x.tobytes() for x in ids]})])))
+
+    op9_module._words["path"] = None
+    df, n, mean = statistics(Tokens())
+    assert not op9_module._words
+    assert n == 40 and mean == sum(map(len, ids)) / 40
+    assert df[:50].tolist() == [sum(i in x for x in ids) for i in range(50)] and not df[50:].any()
